@@ -62,7 +62,7 @@ def shard_rows(df: DataFrame, key: str, shards: int = 8, vnodes: int = 64, ties:
     spark = df.sparkSession
     points = ring(shards, vnodes)
     text = ";".join(",".join(map(str, r)) for r in _arc_ranges(points))
-    parts = spark.range(1).select(F.split(F.explode(F.split(F.lit(text), ";")), ",").alias("p"))
+    parts = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("t")).select(F.split("t", ",").alias("p"))
     arcs = parts.select(*[F.col("p")[i].cast(k).alias(c) for i, (c, k) in enumerate((("__rc", "long"), ("__low", "long"), ("__high", "long"), ("__arc", "int")))])
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("\x00null")).cast("binary")), 1, 13), 16, 10).cast("long")
     held = df.withColumn("__at", h).withColumn("__rc", F.shiftrightunsigned("__at", RING_BITS - CELL_BITS))
