@@ -35,9 +35,10 @@ from .util import staged, text_slices
 WIDTH, LEAD = 50, 20
 SPAN = WIDTH - LEAD + 1
 _B = 0x9E3779B97F4A7C15
-_CHUNK = 8 << 20
+#: Windows hashed at a time, and bytes of text in a slice; both bound a worker's memory.
+_CHUNK, SLICE = 1 << 19, 1 << 20
 #: Text bytes for each hash bucket and each suffix bucket; leads sampled for the splitters.
-BUCKET_BYTES, SUFFIX_BYTES, SAMPLE = 24 << 20, 16 << 20, 40_000
+BUCKET_BYTES, SUFFIX_BYTES, SAMPLE = 10 << 20, 8 << 20, 40_000
 
 
 def _lead_hashes(buf: np.ndarray) -> np.ndarray:
@@ -116,17 +117,20 @@ def _pack(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
     gap = np.diff(pos, prepend=0)
     gap[first] = pos[first]
     kind = np.uint16 if gap.max(initial=0) < 1 << 16 else np.uint64
+    short = len(ids) > 0 and int(ids[-1]) - int(ids[0]) < 1 << 32 and n.max() < 1 << 16
     low = np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:])
-    head = np.array([len(ids), len(key), kind().itemsize], np.int64)
-    return b"".join((head.tobytes(), ids.astype(np.int64).tobytes(), n.astype(np.uint32).tobytes(), gap.astype(kind).tobytes(), low.tobytes()))
+    head = np.array([len(ids), len(key), kind().itemsize, short, ids[0]], np.int64)
+    own = ((ids - ids[0]).astype(np.uint32), n.astype(np.uint16)) if short else (ids.astype(np.int64), n.astype(np.uint32))
+    return b"".join((head.tobytes(), own[0].tobytes(), own[1].tobytes(), gap.astype(kind).tobytes(), low.tobytes()))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, n, wide = np.frombuffer(raw, np.int64, 3)
-    at = 24
-    ids = np.frombuffer(raw, np.int64, docs, at)
-    count = np.frombuffer(raw, np.uint32, docs, at + 8 * docs)
-    at += 12 * docs
+    docs, n, wide, short, least = np.frombuffer(raw, np.int64, 5)
+    at, (id_kind, n_kind) = 40, (np.uint32, np.uint16) if short else (np.int64, np.uint32)
+    ids = np.frombuffer(raw, id_kind, docs, at).astype(np.int64) + (least if short else 0)
+    at += ids.size * np.dtype(id_kind).itemsize
+    count = np.frombuffer(raw, n_kind, docs, at).astype(np.int64)
+    at += docs * np.dtype(n_kind).itemsize
     gap = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint64, n, at).astype(np.int64)
     low = np.zeros((n, 8), np.uint8)
     low[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, at + wide * n).reshape(-1, 5)
@@ -150,7 +154,7 @@ def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, "text", SLICE):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 d, a, h, _, _ = anchor_runs(raws)
@@ -203,7 +207,7 @@ def _splitters(docs: DataFrame, buckets: int) -> list[bytes]:
 
     def leads(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, "text", SLICE):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 _, a, _, _, _ = anchor_runs(raws)
                 whole = b"".join(raws)
@@ -219,7 +223,7 @@ def _suffixes(held: DataFrame, splitters: list[bytes], spread: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, "text", SLICE):
                 ids = part.column("id").to_pylist()
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 base = np.r_[0, np.cumsum([len(r) for r in raws])]
@@ -367,7 +371,7 @@ def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", tex
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, "text", SLICE):
                 n, gone, spans_n, sha, left = [], [], [], [], []
                 spans_of = part.column("spans").to_pylist()
                 for t, s in zip(part.column("text").to_pylist(), spans_of, strict=True):
