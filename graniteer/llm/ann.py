@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import map_batches, map_groups
+
 #: Vectors fitted (bound on what reaches the driver), graph degree, vectors a partition should hold, rows of a block.
 SAMPLE, DEGREE, PART_ROWS, BLOCK_ROWS, RECALL = 4_096, 10, 1_500, 8_000, 0.96
 MAX_PARTS = 64
@@ -137,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
             yield pa.RecordBatch.from_arrays([batch.column("id"), v, pa.array(router.logits(x).argmax(1), pa.int32())], names=["id", "v", "part"])
 
     same = F.size("v") == dim
-    index = vectors.select("id", "v").where(same).mapInArrow(place, "id long, v array<double>, part int")
+    index = map_batches(vectors.select("id", "v").where(same), place, "id long, v array<double>, part int")
     sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number for each partition
     size = np.array([sizes.get(p, 0) for p in range(router.parts)])
     blocks = np.maximum(1, -(-size // BLOCK_ROWS))
@@ -157,7 +159,7 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
 
     counts = F.array(*[F.lit(int(b)) for b in blocks])
     held = index.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(counts, F.col("part") + 1)).cast("int")).withColumn("asks", F.lit(False))
-    asked = queries.select("id", "v").where(same).mapInArrow(route, "id long, v array<double>, part int, block int").withColumn("asks", F.lit(True))
+    asked = map_batches(queries.select("id", "v").where(same), route, "id long, v array<double>, part int, block int").withColumn("asks", F.lit(True))
 
     def rerank(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -184,7 +186,7 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     both = held.select("id", "v", "part", "block", "asks").union(asked.select("id", "v", "part", "block", "asks"))
-    found = both.groupBy("part", "block").applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = map_groups(both, ["part", "block"], rerank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

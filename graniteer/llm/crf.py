@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_slices
+from .util import map_batches, text_slices
 
 #: Most labelled documents that are fitted, and most lines of them that the driver holds.
 SAMPLE, MAX_LINES = 6_000, 400_000
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
                 )
 
     rows, lines = [], 0
-    for r in texts.mapInArrow(run, "y int, x binary, length binary").toLocalIterator():
+    for r in map_batches(texts, run, "y int, x binary, length binary").toLocalIterator():
         if lines + len(r["length"]) // 4 <= MAX_LINES:
             lines += len(r["length"]) // 4
             rows.append((r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["length"], np.float32)))
@@ -242,4 +242,4 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out:
                 got = model.documents(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(got, pa.float64())], names=[*keep, out])
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)

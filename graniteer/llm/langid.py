@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import text_slices
+from .util import map_batches, text_slices
 
 PER_LANG, WORDS, GRAMS = 2_000, 20_000, 20_000
 MAX_GRAM, DISCOUNT = 5, 0.9
@@ -114,9 +114,9 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", per_lang: int = PER
                     c[k, g] += n
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.string()), pa.array([g for _, g in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = few.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = map_batches(few, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = tuple(sorted(sizes))
-    spelled = counted.mapInArrow(spell, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    spelled = map_batches(counted, spell, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     (known, word_rows), (units, gram_rows) = _table(counted, langs, words), _table(spelled, langs, n_grams)
     return Model(langs, known, units, word_rows, gram_rows)
 
@@ -148,4 +148,4 @@ def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
                     names=[*keep, "lang_pred", "score"],
                 )
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import staged, text_slices
+from .util import map_batches, staged, text_slices
 
 BANDS, ROWS, SHINGLE, PERCENT, MISS, BATCH = 50, 6, 5, 80, 1e-7, 30
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +146,7 @@ def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "tex
                     names=["id", "n_shingles", "set_key", "sig", "bands"],
                 )
 
-    return held.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return map_batches(held, run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -169,7 +169,7 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, perce
                 alive, done = alive[agree[alive] >= least], n
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
 
-    alive = staged(both.mapInArrow(prune, "a long, b long"), "survivors")
+    alive = staged(map_batches(both, prune, "a long, b long"), "survivors")
     if not alive.take(1):
         return alive
     wanted = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -192,7 +192,7 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, perce
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    return staged(texts.mapInArrow(exact, "a long, b long"), "verified")
+    return staged(map_batches(texts, exact, "a long, b long"), "verified")
 
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:

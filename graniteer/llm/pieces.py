@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_slices
+from .util import map_batches, text_slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -214,7 +214,7 @@ def encode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",)
                     cols.append(pa.array([t is None or (b or "") == t for t, b in zip(texts, back, strict=True)]))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "token_ids", "n_tokens", *["round_trip"] * check])
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)
 
 
 def decode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",), ids: str = "token_ids", out: str = "text") -> DataFrame:
@@ -227,4 +227,4 @@ def decode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",)
             got = [None if x is None else codec.decode(x) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(got, pa.string())], names=[*keep, out])
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)

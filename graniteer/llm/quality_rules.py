@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import null_key, staged, text_slices
+from .util import map_batches, null_key, staged, text_slices
 
 WINDOW = 8
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -82,7 +82,7 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 cols = [part.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *COUNTS])
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)
 
 
 def bucket(v: Column) -> Column:

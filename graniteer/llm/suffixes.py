@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import staged, text_slices
+from .util import map_batches, map_groups, staged, text_slices
 
 WIDTH, LEAD = 50, 20
 SPAN = WIDTH - LEAD + 1
@@ -196,8 +196,8 @@ def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         hit = order[np.repeat(many, np.diff(np.r_[first, len(order)]))]
         return pa.Table.from_batches([_by_doc(doc[hit], pos[hit])])
 
-    sent = docs.mapInArrow(send, "bucket int, id long, places array<long>, packed binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "id long, places array<long>")
+    sent = map_batches(docs, send, "bucket int, id long, places array<long>, packed binary")
+    return map_groups(sent, ["bucket"], meet, "id long, places array<long>")
 
 
 def _splitters(docs: DataFrame, buckets: int) -> list[bytes]:
@@ -213,7 +213,7 @@ def _splitters(docs: DataFrame, buckets: int) -> list[bytes]:
                 whole = b"".join(raws)
                 yield pa.RecordBatch.from_arrays([pa.array([whole[i : i + LEAD] for i in a[:: max(1, len(a) // 8_000)].tolist()], pa.binary())], names=["lead"])
 
-    got = sorted(bytes(r["lead"]) for r in few.mapInArrow(leads, "lead binary").limit(SAMPLE).collect())
+    got = sorted(bytes(r["lead"]) for r in map_batches(few, leads, "lead binary").limit(SAMPLE).collect())
     return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
 
 
@@ -261,7 +261,7 @@ def _suffixes(held: DataFrame, splitters: list[bytes], spread: int) -> DataFrame
                     names=["bucket", "id", "start", "off", "bytes"],
                 )
 
-    return held.mapInArrow(run, "bucket int, id long, start long, off long, bytes binary")
+    return map_batches(held, run, "bucket int, id long, start long, off long, bytes binary")
 
 
 def sorted_bucket(ids: list[int], starts: list[int], offs: list[int], parts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
@@ -351,7 +351,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             got = tuple(pa.array(x, pa.int64()) for x in sorted_bucket(*(table.column(c).to_pylist() for c in ("id", "start", "off", "bytes"))))
         return pa.table(got, names=["id", "x", "y"])
 
-    ranges = suffixes.groupBy("bucket").applyInArrow(settle, "id long, x long, y long")
+    ranges = map_groups(suffixes, ["bucket"], settle, "id long, x long, y long")
     ranges = ranges.union(copies.select("id", F.lit(0).cast("long"), "n"))
     return ranges.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
 
@@ -388,4 +388,4 @@ def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", tex
                     names=["id", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
-    return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(kept, run, schema).withColumnRenamed("id", id_col)

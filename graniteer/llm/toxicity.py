@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import staged, text_slices
+from .util import map_batches, staged, text_slices
 
 SAMPLE, LEXICON, VOTERS = 12_000, 1_024, 48
 PREFIXES = (4, 5, 6, 7)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     seeds = ["=" + w for w in SEED_WORDS]
     index, order = {w: 1 + len(PATTERNS) + i for i, w in enumerate(seeds)}, list(seeds)
     if n_t and n_c:
-        counts = texts.mapInArrow(mine, "token string, y int").groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+        counts = map_batches(texts, mine, "token string, y int").groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
         odds = F.log((F.col("t") + 0.5) / (n_t + 1.0)) - F.log((F.col("c") + 0.5) / (n_c + 1.0))
         best = counts.where((F.col("t") >= 4) & (odds > 2.2)).select("token", "t", (F.round(odds * F.sqrt("t"), 6)).alias("s"))
         for r in best.orderBy(F.desc("s"), "token").limit(lexicon).collect():
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
                 rows = [hits(t, index, memo) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
 
-    got = sorted((r["y"], list(r["f"])) for r in texts.mapInArrow(features, "y int, f array<int>").collect())
+    got = sorted((r["y"], list(r["f"])) for r in map_batches(texts, features, "y int, f array<int>").collect())
     if not got:
         w = np.zeros(n_features)
         w[1 + len(PATTERNS) :] = 1.0
@@ -195,7 +195,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out:
                 got = model.score(part.column("__text").to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(got, pa.float64())], names=[*keep, out])
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)
 
 
 def clean(df: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
@@ -207,4 +207,4 @@ def clean(df: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
             for part in text_slices(batch):
                 yield part.filter(pa.array(model.score(part.column("text").to_pylist(), memo) < cut))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -23,6 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows sent to Python at a time; texts are long, and each worker holds a batch or two.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at BATCH_ROWS rows or fewer (read when a plan runs)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow with small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def map_groups(df: DataFrame, by: list[str], fn, schema) -> DataFrame:
+    """groupBy().applyInArrow() with small batches."""
+    small_batches(df.sparkSession)
+    return df.groupBy(*by).applyInArrow(fn, schema)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
