@@ -92,7 +92,10 @@ def anchor_runs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     a, d = at[starts], doc[starts]
     head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
     tail = np.r_[head[1:] - 1, len(a) - 1]
-    return d[head], a[head], h[starts[head]], starts[head], starts[tail]
+    # Anchors have small hashes: mixed once more, they spread over the buckets.
+    key = (h[starts[head]] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x94D049BB133111EB)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(_B)
+    return d[head], a[head], key ^ (key >> np.uint64(30)), starts[head], starts[tail]
 
 
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
