@@ -335,16 +335,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(id, spans): byte ranges that go, of each document that has some. docs: (id, text)."""
-    texts = docs.where("id is not null")
+def repeated_ranges(texts: DataFrame) -> DataFrame:
+    """(id, spans): byte ranges that go, of each document that has some. texts: (id, text, ...), ids not null."""
     keyed = texts.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("key")).where(f"n >= {WIDTH}")
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "first")
     copies = staged(keyed.join(first, "key").where("id > first").select("id", "n"), "copies")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
-    hits = staged(_repeated_anchors(texts, buckets), "anchors").join(copies.select("id"), "id", "left_anti")
-    places = hits.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
+    places = hits.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places")).join(copies.select("id"), "id", "left_anti")
     suffixes = _suffixes(texts.join(places, "id"), _splitters(texts, parts), parts)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -366,10 +365,13 @@ def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", tex
     text counts as empty (kept_text stays null); a row without an id takes no part; rows that repeat an id are one
     document and are not each other's copies.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    spans = repeated_ranges(docs)
-    held = df.select(*keep, F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(spans, "id", "left")
-    kept = held.select("id", *keep, "text", "spans")
+    # No alias where none is needed: it would keep the two exchanges of the texts from being one.
+    own = F.col("text") if text == "text" and dict(df.dtypes)["text"] == "string" else F.col(text).cast("string").alias("text")
+    docs = df.select(*keep, F.col(id_col).cast("long").alias("id"), own)
+    # The texts meet their places, then their ranges, by one and the same exchange.
+    texts = docs.where("id is not null")
+    kept = texts.join(repeated_ranges(texts), "id", "left").select("id", *keep, "text", "spans")
+    kept = kept.unionByName(docs.where("id is null"), allowMissingColumns=True)
     schema = ", ".join(["id long"] + [f"`{c}` {t}" for c, t in kept.select(*keep).dtypes] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept_text string"])
 
     def run(batches):
