@@ -38,7 +38,7 @@ _B = 0x9E3779B97F4A7C15
 #: Windows hashed at a time, and bytes of text in a slice; both bound a worker's memory.
 _CHUNK, SLICE = 1 << 19, 1 << 20
 #: Text bytes for each hash bucket and each suffix bucket; leads sampled for the splitters.
-BUCKET_BYTES, SUFFIX_BYTES, SAMPLE = 10 << 20, 8 << 20, 40_000
+BUCKET_BYTES, SUFFIX_BYTES, SAMPLE = 10 << 20, 5 << 20, 40_000
 
 
 def _lead_hashes(buf: np.ndarray) -> np.ndarray:
@@ -243,14 +243,14 @@ def _suffixes(held: DataFrame, splitters: list[bytes], spread: int) -> DataFrame
                     rows.append((key, doc, si - int(base[di]), ei - si))
                     if doc < least.get(key, doc + 1):
                         least[key] = doc
-                sent, out = set(), ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for key, doc, start, more in rows:
                     if doc > least[key]:
+                        if out[0] and out[0][-1] < 0 and out[1][-1] == doc and start <= out[3][-1]:
+                            out[3][-1] = max(out[3][-1], start + more + WIDTH)
+                            continue
                         item = (-1 - doc % spread, doc, start, start + more + WIDTH, None)
-                    elif key not in sent:
-                        sent.add(key)
-                        item = (0, doc, start, key[1], key[0])
-                    else:  # again in the same document: judged like the first, but at its own place
+                    else:  # also where the document has it again: judged alike, but at its own place
                         item = (0, doc, start, key[1], key[0])
                     for col, v in zip(out, item, strict=True):
                         col.append(v)
@@ -343,7 +343,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
     hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
-    places = hits.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places")).join(copies.select("id"), "id", "left_anti")
+    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("array<long>"), F.lit(1)))
+    places = both.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
     suffixes = _suffixes(texts.join(places, "id"), _splitters(texts, parts), parts)
 
     def settle(table: pa.Table) -> pa.Table:
