@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def _by_doc(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
 
 
 def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, places): anchors whose hash two documents have. docs: (id, text), ids not null."""
+    """(id, place): anchors whose hash two documents have. docs: (id, text), ids not null."""
 
     def send(batches):
         for batch in batches:
@@ -190,17 +191,19 @@ def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["id", "places"])
+            own = table.select(["id", "places"]).combine_chunks()
+            at = pc.list_parent_indices(own.column("places").combine_chunks())
+            return pa.table([own.column("id").take(at), pc.list_flatten(own.column("places"))], names=["id", "place"])
         got = [_unpack(x) for x in table.column("packed").to_pylist()]
         h, doc, pos = (np.concatenate([g[i] for g in got]) for i in range(3))
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
         hit = order[np.repeat(many, np.diff(np.r_[first, len(order)]))]
-        return pa.Table.from_batches([_by_doc(doc[hit], pos[hit])])
+        return pa.table([pa.array(doc[hit], pa.int64()), pa.array(pos[hit], pa.int64())], names=["id", "place"])
 
     sent = map_batches(docs, send, "bucket int, id long, places array<long>, packed binary")
-    return map_groups(sent, ["bucket"], meet, "id long, places array<long>")
+    return map_groups(sent, ["bucket"], meet, "id long, place long")
 
 
 def _splitters(docs: DataFrame, buckets: int) -> list[bytes]:
@@ -343,8 +346,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
     hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
-    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("array<long>"), F.lit(1)))
-    places = both.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
+    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("long"), F.lit(1)))
+    places = both.groupBy("id").agg(F.collect_list("place").alias("places"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
     suffixes = _suffixes(texts.join(places, "id"), _splitters(texts, parts), parts)
 
     def settle(table: pa.Table) -> pa.Table:
