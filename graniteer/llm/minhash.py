@@ -8,9 +8,11 @@ similarity reaches the threshold falls under `miss`, the pair is pruned. Survivo
 verified on their full sets.
 
 Within a band's bucket no list of all pairs is made. First every member is compared with
-the bucket's smallest member, which joins most of a group of copies in one component. What is then left
-are members of one bucket in different components: these pairs alone are listed, and
-verified likewise, so that no link between components is lost to the shortcut.
+the bucket's smallest member, which joins most of a group of copies in one component. A bucket that still
+holds several components belongs to the arena of its largest one, where each member of
+another component (a stray) is compared with all of the arena on full sets: an arena is dealt
+in blocks of bounded size, a stray visits every block and is matched there by an inverted index, and
+only links come out. So no link between components is lost to the shortcut.
 
 With BANDS bands of ROWS rows, a pair at similarity 0.8 shares no band with probability
 (1 - 0.8**6)**50 < 3e-7.
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import map_batches, staged, text_slices
+from .util import map_batches, map_groups, staged, text_slices
 
+#: Shingles in a block of an arena.
+ARENA_SHINGLES = 300_000
 BANDS, ROWS, SHINGLE, PERCENT, MISS, BATCH = 50, 6, 5, 80, 1e-7, 30
 _M = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -116,7 +120,7 @@ def limits(rows: int, percent: int = PERCENT, miss: float = MISS, batch: int = B
 
 
 def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, set_key (128 bits of the whole set; null for an empty one), sig (32-bit rows), bands (64-bit keys)."""
+    """id, n_shingles, set_key (128 bits of the whole set; null for an empty one), sig (16 bits of each row), bands (64-bit keys)."""
     held = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
 
     def run(batches):
@@ -136,7 +140,7 @@ def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "tex
                     order = np.stack([a, b])
                     keys.append(np.array([_mix(order[0] + _M).sum(), _mix(order[1]).sum()], np.uint64).tobytes() + len(a).to_bytes(4, "big"))
                     s = signature(a, own)
-                    sigs.append(s.tobytes())
+                    sigs.append(s.astype(np.uint16).tobytes())  # enough to compare; bands are of all 32 bits
                     key = number.copy()
                     for c in s.reshape(BANDS, ROWS).T:
                         key = _mix(key * _M + c.astype(np.uint64))
@@ -149,10 +153,10 @@ def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "tex
     return map_batches(held, run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: pruned on signatures, then checked on full sets.
 
-    sigs: (id, sig), one row per id; docs: (id, text), one row per id.
+    sigs: (id, sig), one row per id; texts: (id, text), one row per id.
     """
     of = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -162,7 +166,7 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, perce
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             alive, agree, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in cuts:
                 agree[alive] += (x[alive, done:n] == y[alive, done:n]).sum(1)
@@ -170,12 +174,8 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, perce
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
 
     alive = staged(map_batches(both, prune, "a long, b long"), "survivors")
-    if not alive.take(1):
-        return alive
-    wanted = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = staged(docs.join(wanted, "id", "left_semi"), "survivor-texts")
-    text_of = lambda x: few.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    texts = alive.join(text_of("a"), "a").join(text_of("b"), "b")
+    text_of = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    whole = alive.join(text_of("a"), "a").join(text_of("b"), "b")
 
     def exact(batches):
         held: dict[str, set[bytes]] = {}
@@ -192,7 +192,47 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, perce
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    return staged(map_batches(texts, exact, "a long, b long"), "verified")
+    return staged(map_batches(whole, exact, "a long, b long"), "verified")
+
+
+def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components. mixed: (key, id, c) of buckets with several components; sizes: (id, n)."""
+    heads = mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.min(F.struct(-F.col("m"), "c"))["c"].alias("arena"))
+    placed = mixed.join(heads, "key").select("arena", "id", "c").distinct()
+    placed = staged(placed.join(sizes, "id"), "arenas")
+    blocks = placed.groupBy("arena").agg(F.ceil(F.sum("n") / ARENA_SHINGLES).cast("int").alias("blocks"))
+    held = placed.join(blocks, "arena").join(texts, "id")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    targets = held.select("arena", own.alias("block"), "id", "c", "text", F.lit(False).alias("asks"))
+    strays = held.where("c <> arena").select("arena", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "c", "text", F.lit(True).alias("asks"))
+
+    def match(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        out: tuple[list[int], list[int]] = ([], [])
+        mine, others = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
+        if len(mine) and len(others):
+            ids, comps = mine.column("id").to_numpy(), mine.column("c").to_numpy()
+            sets = [shingle_hashes(t.as_py(), width)[0] for t in mine.column("text")]
+            size = np.array([len(x) for x in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for i in range(len(others)):
+                doc, comp, text = others.column("id")[i].as_py(), others.column("c")[i].as_py(), others.column("text")[i].as_py()
+                x = shingle_hashes(text, width)[0]
+                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                n = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                inner = np.bincount(owner[at], minlength=len(sets))
+                for j in np.flatnonzero((inner > 0) & (100 * inner >= percent * (size + len(x) - inner)) & (comps != comp)).tolist():
+                    full, other = shingle_set(text, width), shingle_set(mine.column("text")[j].as_py(), width)
+                    both = len(full & other)
+                    if 100 * both >= percent * (len(full) + len(other) - both):
+                        out[0].append(max(doc, int(ids[j])))
+                        out[1].append(min(doc, int(ids[j])))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return staged(map_groups(targets.union(strays), ["arena", "block"], match, "a long, b long"), "arena-links")
 
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,24 +245,24 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     full = prof.where("set_key is not null and id is not null")
     classes = staged(full.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     members = full.select("id", "set_key").join(classes, "set_key").select("id", "rep")
-    reps = staged(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig", "bands").dropDuplicates(["id"]), "representatives")
+    reps = staged(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "sig", "bands").dropDuplicates(["id"]), "representatives")
     sigs = reps.select("id", "sig")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     shared = staged(keyed.join(hubs, "key"), "shared-bands")
-    stars = staged(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = verify(stars, sigs, docs, width, percent)
+    candidates = shared.select("id").distinct()
+    texts = staged(docs.join(candidates, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    stars = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = verify(stars, sigs, texts, width, percent)
     comp = components(links)
     # Members of one bucket that are in different components still have to be compared.
     named = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = staged(named.join(mixed, "key"), "mixed")
-    x, y = (open_.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in ("a", "b"))
-    pairs = x.join(y, "key").where("a > b and c_a <> c_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = verify(staged(pairs, "pairs"), sigs, docs, width, percent)
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    mixed = staged(named.join(several, "key"), "mixed")
+    more = arena_links(mixed, reps.select("id", F.col("n_shingles").alias("n")), texts, width, percent)
     if more.take(1):
-        comp = components(links.union(more))
+        comp = staged(components(links.union(more)), "components")
     rep_comp = comp.select(F.col("id").alias("rep"), "component")
     found = members.join(rep_comp, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("id").agg(F.min("component_id").alias("component_id"))
