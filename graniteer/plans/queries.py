@@ -1,0 +1,329 @@
+"""Acceptance queries over the driver's tables, each with the same thing said in DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import content as C
+from ..functions import detect
+from ..functions.paths import included
+from ..operators import records
+from ..streaming import delta
+
+Query = Callable[[SparkSession, str], DataFrame]
+SQL: dict[str, str] = {}
+RUN: dict[str, Query] = {}
+TERMS = ("the", "le", "der", "que", "License")
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        RUN[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def long(c: Column) -> Column:
+    return c.cast("long")
+
+
+@query("select doc_id, strlen(text)::bigint as size, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents")
+def file_inventory(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", long(F.octet_length("text")).alias("size"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("""select doc_id, case when strlen(text) <= 4096 then md5(text) end as md5,
+  case when strlen(text) > 4096 then 'full-file operations skipped for files larger than 4096 bytes' end as warning from documents""")
+def hash_size_gate(spark, sf_dir):
+    size = F.octet_length("text")
+    return docs(spark, sf_dir).select("doc_id", F.when(size <= 4096, F.md5("text")).alias("md5"), C.size_warning(size, 4096).alias("warning"))
+
+
+@query("select sha256(text) as hash, count(*)::bigint as copies, min(doc_id)::bigint as first_id from documents group by 1 having count(*) > 1")
+def duplicate_hash(spark, sf_dir):
+    return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+HITS = "select doc_id, term, ((strlen(text) - strlen(replace(text, term, ''))) // strlen(term))::bigint as hits from documents, (select unnest(['the','le','der','que','License']) as term)"
+
+
+@query(f"select * from ({HITS}) where hits > 0")
+def search_hits_long(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(C.search_hits(F.col("text"), TERMS)).alias("term", "hits")).withColumn("hits", long(F.col("hits")))
+
+
+@query(f"select term, sum(hits)::bigint as hits, count(*)::bigint as docs from ({HITS}) where hits > 0 group by term")
+def search_hits_total(spark, sf_dir):
+    return search_hits_long(spark, sf_dir).groupBy("term").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("select doc_id, ((strlen(text) - strlen(replace(text, 'the', ''))) // 3)::bigint as the, ((strlen(text) - strlen(replace(text, 'la', ''))) // 2)::bigint as la from documents")
+def search_terms_normalised(spark, sf_dir):
+    hits = C.search_hits(F.col("text"), (" the", "la", "the ", "", " "))
+    return docs(spark, sf_dir).select("doc_id", *[long(F.coalesce(F.try_element_at(hits, F.lit(t)), F.lit(0))).alias(t) for t in ("the", "la")])
+
+
+@query("""select doc_id, least(strlen(text), 1000)::bigint as content_scan_bytes, strlen(text) > 1000 as truncated,
+  case when strlen(text) = length(text) then md5(left(text, 1000)) end as prefix_md5 from documents""")
+def content_truncation(spark, sf_dir):
+    size, body = F.octet_length("text"), F.substring(F.col("text").cast("binary"), 1, 1000)
+    return docs(spark, sf_dir).select("doc_id", long(F.least(size, F.lit(1000))).alias("content_scan_bytes"), (size > 1000).alias("truncated"), F.when(size == F.length("text"), F.md5(body)).alias("prefix_md5"))
+
+
+def found(df: DataFrame, name: str, key: str = "doc_id", text: str = "text", custom: dict[str, str] | None = None) -> DataFrame:
+    """key, n and the joined values of rows with a match."""
+    held = df.select(F.col(key), detect.matches(name, F.col(text), custom).alias("m")).where(F.size("m") > 0)
+    return held.select(key, long(F.size("m")).alias("n"), F.array_join("m", "|").alias("found"))
+
+
+DIGITS, LETTERS = "length(regexp_replace(text, '[^0-9]', '', 'g'))", "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+GATES = {
+    "ip_address": f"{DIGITS} >= 4 and contains(text, '.')",
+    "phone_number": f"{DIGITS} >= 10",
+    "street_address": f"{DIGITS} >= 1 and regexp_matches(text, '[ \\t]') and regexp_matches(lower(text), 'street|avenue|road|lane|drive')",
+    "iban": f"{LETTERS} >= 2 and {DIGITS} >= 2 and {LETTERS} + {DIGITS} >= 15",
+    "uk_nin": f"{LETTERS} >= 2 and {DIGITS} >= 6",
+    "eu_vat": f"{LETTERS} >= 2 and {LETTERS} + {DIGITS} >= 8",
+    "india_aadhaar": f"{DIGITS} >= 12",
+    "china_id": f"{DIGITS} >= 17",
+}
+EXACT = {
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "aws_access_key": r"AKIA[A-Z0-9]{16}",
+    "jwt_token": r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "api_key": r'(?i)(?:api_key|api-secret|access-token)[ \t]*[:=][ \t]*(?:"[A-Za-z0-9_-]+"?|[A-Za-z0-9_-]+)',
+}
+EMAILS = r"""list_filter(list_transform(range(1, len(string_split(text, '@'))), lambda k:
+  regexp_extract(string_split(text, '@')[k], '[A-Za-z0-9._%+\-]+$') || '@' || regexp_extract(string_split(text, '@')[k + 1], '^[A-Za-z0-9.\-]+')),
+  lambda x: regexp_matches(x, '^[^@]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$'))"""
+
+
+def lists(name: str, table_name: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """SQL: key and m, the list of matches."""
+    if name == "email":
+        body = EMAILS
+    elif name == "api_key":
+        # In order of first occurrence.
+        body = f"list_filter(regexp_extract_all(text, '{EXACT[name]}'), lambda x, i: list_position(regexp_extract_all(text, '{EXACT[name]}'), x) = i)"
+    elif name in EXACT:
+        body = f"regexp_extract_all(text, '{EXACT[name]}')"
+    else:
+        body = f"case when {GATES[name]} then regexp_extract_all(text, '{detect.LONG_TAIL[name]}') else [] end"
+    return f"select {key}, {body} as m from (select {key}, {text} as text from {table_name})"
+
+
+def listed(inner: str, key: str = "doc_id") -> str:
+    return f"select {key}, len(m)::bigint as n, array_to_string(m, '|') as found from ({inner}) where len(m) > 0"
+
+
+CARD_SQL = r"""
+with runs as (select doc_id, i, run, length(regexp_replace(run, '[^0-9]', '', 'g')) as n from (
+    select doc_id, unnest(r) as run, generate_subscripts(r, 1) as i from (select doc_id, regexp_extract_all(text, '\d(?:[ -]*\d)*') as r from documents) where len(r) > 0)),
+tails as (select doc_id, i, regexp_extract(run, '\d(?:[ -]*\d){' || ((n - 1) % 16)::varchar || '}$') as v, ((n - 1) % 16) + 1 as m from runs),
+good as (select doc_id, i, v, reverse(regexp_replace(v, '[^0-9]', '', 'g')) as d from tails where m >= 13),
+valid as (select doc_id, i, v from good where list_sum(list_transform(range(1, length(d) + 1), lambda k:
+    case when k % 2 = 1 then d[k]::int else (2 * d[k]::int) // 10 + (2 * d[k]::int) % 10 end)) % 10 = 0)
+select doc_id, count(*)::bigint as n, string_agg(v, '|' order by i) as found from valid group by doc_id"""
+
+
+def _each(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return found(docs(spark, sf_dir), name)
+
+    RUN[f"{name}_matches"] = run
+    SQL[f"{name}_matches"] = CARD_SQL if name == "credit_card" else listed(lists(name))
+
+
+for _name in (*detect.CRITICAL, *detect.LONG_TAIL):
+    _each(_name)
+
+CUSTOM = {"hex40": r"\b[0-9a-f]{40}\b"}
+
+
+@query(r"select doc_id, len(m)::bigint as n, array_to_string(m, '|') as found from (select doc_id, regexp_extract_all(text, '\b[0-9a-f]{40}\b') as m from documents) where len(m) > 0")
+def custom_pattern_matches(spark, sf_dir):
+    return found(docs(spark, sf_dir), "hex40", custom=CUSTOM)
+
+
+@query(rf"""select doc_id, len(m)::bigint as n, array_to_string(list_sort(m), '|') as found from (select doc_id,
+  case when not ({GATES['eu_vat']}) then [] when length(text) > 768 then list_distinct(list_concat(regexp_extract_all(left(text, 256), '{detect.LONG_TAIL['eu_vat']}'),
+    regexp_extract_all(substring(text, (length(text) - 256) // 2 + 1, 256), '{detect.LONG_TAIL['eu_vat']}'), regexp_extract_all(right(text, 256), '{detect.LONG_TAIL['eu_vat']}')))
+  else regexp_extract_all(text, '{detect.LONG_TAIL['eu_vat']}') end as m from documents) where len(m) > 0""")
+def sampled_eu_vat(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", detect.sampled("eu_vat", F.col("text"), 256).alias("m")).where(F.size("m") > 0)
+    return held.select("doc_id", long(F.size("m")).alias("n"), F.array_join(F.array_sort("m"), "|").alias("found"))
+
+
+KINDS = ("email", "ip_address", "phone_number", "eu_vat")
+ALL_LISTS = " union all ".join(f"select doc_id, '{k}' as pattern, m from ({lists(k)})" for k in KINDS)
+
+
+def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = docs(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(k).alias("pattern"), detect.matches(k, F.col("text")).alias("m")) for k in KINDS])
+    return held.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.pattern", "x.m").where(F.size("m") > 0)
+
+
+@query(f"select pattern, count(*)::bigint as docs, sum(len(m))::bigint as matches from ({ALL_LISTS}) where len(m) > 0 group by pattern")
+def sensitive_counts(spark, sf_dir):
+    return all_matches(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), long(F.sum(F.size("m"))).alias("matches"))
+
+
+@query(f"select doc_id, pattern, least(len(m), 2)::bigint as n, array_to_string(m[1:2], '|') as found, len(m) >= 2 as truncated from ({ALL_LISTS}) where len(m) > 0")
+def sensitive_limits(spark, sf_dir):
+    held = all_matches(spark, sf_dir)
+    two = detect.limited(F.col("m"), 2)
+    return held.select("doc_id", "pattern", long(F.size(two)).alias("n"), F.array_join(two, "|").alias("found"), (F.size("m") >= 2).alias("truncated"))
+
+
+@query(f"select doc_id, pattern, m[1] as found from ({ALL_LISTS}) where len(m) > 0")
+def sensitive_first(spark, sf_dir):
+    return all_matches(spark, sf_dir).select("doc_id", "pattern", F.get("m", F.lit(0)).alias("found"))
+
+
+@query(f"""select doc_id, sum(least(len(m), 3))::bigint as stored, bool_or(len(m) >= 3) or sum(least(len(m), 3)) >= 4 as truncated from ({ALL_LISTS}) where len(m) > 0 group by doc_id""")
+def sensitive_truncated(spark, sf_dir):
+    kept = F.least(F.size("m"), F.lit(3))
+    return all_matches(spark, sf_dir).groupBy("doc_id").agg(long(F.sum(kept)).alias("stored"), (F.bool_or(F.size("m") >= 3) | (F.sum(kept) >= 4)).alias("truncated"))
+
+
+ORDERED = " union all ".join(f"select doc_id, '{k}' as pattern, {i} as o, m from ({lists(k)})" for i, k in enumerate(("email", "eu_vat", "ip_address", "phone_number")))
+
+
+@query(f"""select doc_id, pattern, n::bigint as n from (select doc_id, pattern, greatest(0, least(len(m), 5 - coalesce(sum(len(m)) over (partition by doc_id order by o rows between unbounded preceding and 1 preceding), 0))) as n
+  from ({ORDERED})) where n > 0""")
+def sensitive_total_limit(spark, sf_dir):
+    names = ["email", "eu_vat", "ip_address", "phone_number"]
+    held = docs(spark, sf_dir).select("doc_id", detect.sensitive(F.col("text"), names, 0, 5, "").alias("s")).where("s is not null")
+    return held.select("doc_id", F.explode("s.counts").alias("pattern", "n")).withColumn("n", long(F.col("n")))
+
+
+@query(f"select doc_id, array_to_string(list_transform(m, lambda v: case when length(v) <= 4 then '****' else repeat('*', length(v) - 4) || right(v, 4) end), '|') as found from ({lists('email')}) where len(m) > 0")
+def redact_mask(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", detect.matches("email", F.col("text")).alias("m")).where(F.size("m") > 0)
+    return held.select("doc_id", F.array_join(detect.redact(F.col("m"), "mask"), "|").alias("found"))
+
+
+@query(f"select doc_id, array_to_string(list_transform(m, lambda v: sha256(v)), '|') as found from ({lists('eu_vat')}) where len(m) > 0")
+def redact_hash(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", detect.matches("eu_vat", F.col("text")).alias("m")).where(F.size("m") > 0)
+    return held.select("doc_id", F.array_join(detect.redact(F.col("m"), "hash"), "|").alias("found"))
+
+
+@query(f"select doc_id from ({HITS}) where term = 'License' and hits > 0 union select doc_id from ({lists('email')}) where len(m) > 0")
+def signal_rows(spark, sf_dir):
+    held = docs(spark, sf_dir).withColumns({"search_hits": C.search_hits(F.col("text"), ("License",)), "__m": detect.matches("email", F.col("text"))})
+    held = held.withColumn("sensitive_data", F.when(F.size("__m") > 0, F.create_map(F.lit("email"), F.col("__m"))))
+    return held.where(records.has_signal(held)).select("doc_id")
+
+
+@query("select 'file' as record_type, '2' as schema_version, doc_id::varchar as path, strlen(text)::bigint as size from documents")
+def record_envelope(spark, sf_dir):
+    files = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), long(F.octet_length("text")).alias("size"))
+    j = records.envelopes(files, "file").select(F.from_json("json", "record_type string, schema_version string, payload struct<path:string,size:long>").alias("r"))
+    return j.select("r.record_type", "r.schema_version", "r.payload.path", "r.payload.size")
+
+
+@query("select count(*)::bigint as files_scanned, count(*) filter (contains(text, 'License'))::bigint as files_processed from documents")
+def scan_metrics(spark, sf_dir):
+    m = records.metrics(docs(spark, sf_dir), F.col("text").contains("License"))
+    return m.select(long(F.col("files_scanned")).alias("files_scanned"), long(F.col("files_processed")).alias("files_processed"))
+
+
+@query("select strlen(text)::bigint as size, md5(text) as md5 from documents")
+def privacy_projection(spark, sf_dir):
+    held = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), long(F.octet_length("text")).alias("size"), F.md5("text").alias("md5"), C.search_hits(F.col("text"), TERMS).alias("search_hits"))
+    return records.for_export(held, "file")
+
+
+@query(r"select page_id from pages where (regexp_matches(url, '[13]$') or regexp_matches(regexp_extract(url, '[^/]*$'), '^[^/]*[02468]$')) and not regexp_matches(url, '/[^/]*7[^/]*$')")
+def path_filter(spark, sf_dir):
+    held = table(spark, sf_dir, "pages").select("page_id", "url")
+    return held.where(included(F.col("url"), F.regexp_extract("url", "[^/]*$", 0), ("[13]$", "*[02468]"), ("/[^/]*7[^/]*$",))).select("page_id")
+
+
+@query("select doc_id, doc_id % 3 = 0 or (strlen(text) > 0 and not contains(left(text, 4096), chr(0))) as eligible from documents where strlen(text) = length(text)")
+def content_eligibility(spark, sf_dir):
+    held = docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".bin"))
+    return held.select("doc_id", C.eligible(name, F.lit("unknown"), F.col("text").cast("binary")).alias("eligible"))
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then 'expensive' when strlen(text) * 1000 <= 65536 then 'small' when strlen(text) * 1000 <= 4194304 then 'medium' else 'large' end as lane from documents""")
+def lane_classification(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".PDF").otherwise(".txt"))
+    return docs(spark, sf_dir).select("doc_id", C.lane(F.octet_length("text") * 1000, name).alias("lane"))
+
+
+@query("select event_id, user_id from events where ts >= timestamp '2024-01-15 00:00:00' or ts is null")
+def delta_mtime(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(delta.changed_since(F.col("ts"), F.lit("2024-01-15 00:00:00").cast(dict(table(spark, sf_dir, "events").dtypes)["ts"]))).select("event_id", "user_id")
+
+
+VERSIONS = """
+a as (select doc_id, text as before, case when doc_id % 7 = 0 then text || ' tail' when doc_id % 7 = 1 then 'head ' || text else text end as now from documents where strlen(text) = length(text)),
+k as (select doc_id, i as idx, substring(now, (i * 512 + 1)::bigint, 512) as c, substring(before, (i * 512 + 1)::bigint, 512) as o from (select *, unnest(range(0, (length(now) + 511) // 512)) as i from a))"""
+
+
+@query(f"""with {VERSIONS}, s as (select *, c = o and length(o) > 0 as same from k)
+select doc_id, idx::bigint as idx, same, same and coalesce(lag(same) over w, true) and coalesce(lead(same) over w, true) as reuse from s window w as (partition by doc_id order by idx)""")
+def delta_chunk_reuse(spark, sf_dir):
+    held = docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    now = held.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" tail"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("head "), "text")).otherwise(F.col("text")))
+    out = delta.reusable(delta.chunks(now, "doc_id", "text", 512), delta.chunks(held, "doc_id", "text", 512), "doc_id")
+    return out.select("doc_id", long(F.col("idx")).alias("idx"), "same", "reuse")
+
+
+@query("""select doc_id, kept from (select doc_id, sum(strlen(text)) over (order by n_chars desc, sha256(doc_id::varchar) desc rows between unbounded preceding and current row) <= 400000 as kept from documents)""")
+def cache_eviction(spark, sf_dir):
+    held = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("mtime"), F.octet_length("text").alias("size"), delta.path_key(F.col("doc_id").cast("string")).alias("path_key"))
+    return delta.kept_by_cache(held, 400_000).select("doc_id", "kept")
+
+
+@query(listed(lists("email", "pages", "page_id", "html"), "page_id"))
+def pages_sensitive(spark, sf_dir):
+    return found(table(spark, sf_dir, "pages"), "email", "page_id", "html")
+
+
+@query("""select conv_id, turn::bigint as turn, strlen(text)::bigint as size, sha256(text) as sha256, ((strlen(text) - strlen(replace(text, 'the', ''))) // 3)::bigint as the from conversations""")
+def conversations_scan(spark, sf_dir):
+    held = table(spark, sf_dir, "conversations")
+    return held.select("conv_id", long(F.col("turn")).alias("turn"), long(F.octet_length("text")).alias("size"), F.sha2("text", 256).alias("sha256"), long(C.search_count(F.col("text"), "the")).alias("the"))
+
+
+@query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events where value is not null group by event_type")
+def metrics_percentile(spark, sf_dir):
+    held = table(spark, sf_dir, "events").where("value is not null")
+    return held.groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+
+
+@query("""with v as (select doc_id, case when doc_id % 7 = 0 then text || ' the tail' else text end as now from documents where strlen(text) = length(text))
+select doc_id, ((length(now) - length(replace(now, 'the', ''))) // 3)::bigint as hits from v""")
+def delta_search_sums(spark, sf_dir):
+    """Counts of chunks sum to the whole's: a hit belongs to the chunk where it starts."""
+    held = docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    now = held.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" the tail"))).otherwise(F.col("text")))
+    parts = delta.chunks(now, "doc_id", "text", 512)
+    ahead = F.coalesce(F.lead("chunk").over(Window.partitionBy("doc_id").orderBy("idx")), F.lit(b""))
+    joined = parts.withColumn("t", F.concat("chunk", F.substring(ahead, 1, 2)).cast("string"))
+    return joined.groupBy("doc_id").agg(long(F.sum(C.search_count(F.col("t"), "the"))).alias("hits"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(RUN)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
