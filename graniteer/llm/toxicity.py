@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
 
     held = labels.where(usable & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     few = held.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").limit(2 * sample)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     texts = staged(texts, "toxicity-sample")
 
     def mine(batches):
