@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon groups and patterns, each of which says toxic or abstains; one more says
-clean where no lexicon word is found. A generative label model (two classes, each
+Voters are lexicon groups and patterns, each of which says toxic or abstains (which counts
+against, by how often toxic texts have it). A generative label model (two classes, each
 voter with its own rates, fitted by expectation-maximisation) estimates their accuracies, the
 given label being one more voter that may err; voters whose votes still correlate given the
 class share one vote's weight. A linear classifier over the lexicon's features is trained on
@@ -83,24 +83,24 @@ def hits(text: str | None, index: dict[str, int], memo: dict[str, tuple[str, ...
 def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each row, weight of each voter) from a 0/1 matrix of votes, voters in columns.
 
-    The last column votes clean; all others vote toxic, the one before it being the given label.
+    All vote toxic; the last one is the given label.
     """
     n, k = votes.shape
-    p = votes[:, -2] * 0.9 + 0.05
+    p = 0.05 + 0.45 * votes[:, -1] + 0.45 * votes[:, :-1].any(1)
     share = np.ones(k)
     for r in range(rounds):
         t, c = p.sum(), (1 - p).sum()
         on_t, on_c = (votes.T @ p + 0.1) / (t + 0.2), (votes.T @ (1 - p) + 0.1) / (c + 0.2)
-        # A voter is taken to be better than chance.
-        on_t[:-1], on_t[-1] = np.maximum(on_t[:-1], on_c[:-1]), min(on_t[-1], on_c[-1])
+        on_t = np.maximum(on_t, on_c)  # a voter is taken to be no worse than chance
         gain = votes * np.log(on_t / on_c) + (1 - votes) * np.log((1 - on_t) / (1 - on_c))
         p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain @ share, -40, 40)))
-        if r == rounds // 2:
+        if r == rounds // 3:
             # Correlations that the class does not explain: such voters share a weight.
             rest = votes - np.outer(p, on_t) - np.outer(1 - p, on_c)
             cov = rest.T @ rest / n
             sd = np.sqrt(np.diag(cov)) + 1e-9
-            corr = np.abs(cov / np.outer(sd, sd))
+            corr = cov / np.outer(sd, sd)
+            corr[-1, :-1] = corr[:-1, -1] = 0  # the label looked at the text itself
             share = 1 / np.where(corr > 0.2, corr, 0).sum(1).clip(1)
     return p, share
 
@@ -169,12 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     for i, w in enumerate(order):
         f = index[w]
         voter[f] = i if i < VOTERS // 2 else VOTERS // 2 + group.setdefault(w.lstrip("23=")[:4], len(group)) % (VOTERS // 2)
-    votes = np.zeros((len(rows), VOTERS + len(PATTERNS) + 2))
+    votes = np.zeros((len(rows), VOTERS + len(PATTERNS) + 1))
     for i, r in enumerate(rows):
         for f in r:
             votes[i, voter[f] if f in voter else VOTERS + f - 1] = 1
-    votes[:, -2] = y
-    votes[:, -1] = ~votes[:, :VOTERS].any(1)
+    votes[:, -1] = y
     prior = min(max(float(y.mean()), 0.01), 0.5) if n_t else 0.1
     posterior, _ = label_model(votes, prior)
     w = fit_linear(rows, posterior, n_features)
