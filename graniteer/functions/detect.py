@@ -54,23 +54,24 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
-def count_of(text: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
+def at_least(text: Column, chars: str, n: int) -> Column:
+    """Whether so many characters of a class occur; reading ends with the n-th."""
+    return text.rlike(rf"\A(?:[^{chars}]*+[{chars}]){{{n}}}")
 
 
 def gate(name: str, text: Column) -> Column:
     """Whether a long-tail pattern is tried at all; part of the result's definition."""
-    digits, letters = count_of(text, "0-9"), count_of(text, "A-Za-z")
+    digits, letters, both = "0-9", "A-Za-z", "0-9A-Za-z"
     low = F.lower(text)
     return {
-        "ip_address": (digits >= 4) & text.contains("."),
-        "phone_number": digits >= 10,
-        "street_address": (digits >= 1) & text.rlike("[ \t]") & F.greatest(*[low.contains(w) for w in STREET_WORDS]),
-        "iban": (letters >= 2) & (digits >= 2) & (letters + digits >= 15),
-        "uk_nin": (letters >= 2) & (digits >= 6),
-        "eu_vat": (letters >= 2) & (letters + digits >= 8),
-        "india_aadhaar": digits >= 12,
-        "china_id": digits >= 17,
+        "ip_address": at_least(text, digits, 4) & text.contains("."),
+        "phone_number": at_least(text, digits, 10),
+        "street_address": at_least(text, digits, 1) & text.rlike("[ \t]") & F.greatest(*[low.contains(w) for w in STREET_WORDS]),
+        "iban": at_least(text, letters, 2) & at_least(text, digits, 2) & at_least(text, both, 15),
+        "uk_nin": at_least(text, letters, 2) & at_least(text, digits, 6),
+        "eu_vat": at_least(text, letters, 2) & at_least(text, both, 8),
+        "india_aadhaar": at_least(text, digits, 12),
+        "china_id": at_least(text, digits, 17),
     }.get(name, F.lit(True))
 
 
@@ -171,12 +172,13 @@ def redact(values: Column, how: str) -> Column:
     return F.transform(values, lambda v: F.sha2(v, 256)) if how == "hash" else values
 
 
-def sensitive(text: Column, names: list[str], per_type: int = 100, total: int = 1_000, how: str = "mask", custom: dict[str, str] | None = None, longtail: str = "full", window: int = 4_096) -> Column:
-    """struct<data map, counts map, truncated>: stored matches by type under both limits (0: no limit)."""
+def sensitive(text: Column, names: list[str], per_type: int = 100, total: int = 1_000, how: str = "mask", custom: dict[str, str] | None = None, longtail: str = "full", window: int = 4_096, given: dict[str, Column] | None = None) -> Column:
+    """struct<data map, counts map, truncated>: stored matches by type under both limits (0: no limit). `given` holds types already matched."""
     names = [k for k in names if k in CRITICAL or longtail != "off"]
     if not names:
         return F.lit(None).cast("struct<data:map<string,array<string>>,counts:map<string,int>,truncated:boolean>")
-    each = [limited(sampled(k, text, window, custom) if longtail == "sampled" and k not in CRITICAL else matches(k, text, custom), per_type) for k in names]
+    given = given or {}
+    each = [limited(given[k] if k in given else sampled(k, text, window, custom) if longtail == "sampled" and k not in CRITICAL else matches(k, text, custom), per_type) for k in names]
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in zip(names, each, strict=True)])
     if total:  # what is left of the total limit goes down the list
         zero = F.struct(F.lit(total).alias("left"), F.array().cast("array<struct<k:string,v:array<string>>>").alias("out"))
