@@ -48,11 +48,14 @@ class ScanConfig:
     sensitive_engine: str = "auto"
     sensitive_longtail: str = "full"
     sensitive_window_bytes: int = 4_096
+    sensitive_overlap: str = "independent"
     sensitive_match_mode: str = "all"
     sensitive_max_matches_per_type: int = 100
     sensitive_max_total_matches: int = 1_000
     redact_sensitive: str = "mask"
     fuzzy_hash: bool = False
+    fuzzy_algorithms: tuple[str, ...] = ("tlsh",)
+    fuzzy_table: tuple[int, ...] = ()
     fuzzy_min_size: int = 256
     fuzzy_max_size: int = 20 * 1024 * 1024
     delta_scan: bool = False
@@ -63,6 +66,8 @@ class ScanConfig:
     metadata_max_bytes: int = 1 << 20
     collect_xattrs: bool = True
     xattr_max_value_size: int = 1_024
+    collect_acl: bool = False
+    collect_metadata: bool = True
     export_paths: bool = False
     export_sensitive: bool = False
     export_cmdline: bool = False
@@ -77,6 +82,7 @@ class ScanConfig:
                 (self.max_output_file_size <= 0, "max_output_file_size must be positive"),
                 (self.sensitive_engine not in ("auto", "hybrid", "deterministic"), "unknown sensitive_engine"),
                 (self.sensitive_longtail not in ("off", "sampled", "full"), "unknown sensitive_longtail"),
+                (self.sensitive_overlap not in ("independent", "exact"), "unknown sensitive_overlap"),
                 (self.sensitive_match_mode not in ("all", "first"), "unknown sensitive_match_mode"),
                 (self.redact_sensitive not in ("", "none", "mask", "hash"), "unknown redact_sensitive"),
                 (self.delta_cache_mode not in ("mtime", "chunk"), "unknown delta_cache_mode"),
@@ -121,7 +127,7 @@ class ScanConfig:
 
     def fingerprint(self) -> str:
         """Of the options that decide a file's results; results are reused only under the same one."""
-        names = ("search_terms", "scan_sensitive", "include_sensitive_data_types", "exclude_sensitive_data_types", "custom_patterns", "sensitive_engine", "sensitive_longtail", "sensitive_window_bytes", "sensitive_match_mode", "sensitive_max_matches_per_type", "sensitive_max_total_matches", "hash_algorithms", "fuzzy_hash")
+        names = ("search_terms", "scan_sensitive", "include_sensitive_data_types", "exclude_sensitive_data_types", "custom_patterns", "sensitive_engine", "sensitive_longtail", "sensitive_window_bytes", "sensitive_overlap", "sensitive_match_mode", "sensitive_max_matches_per_type", "sensitive_max_total_matches", "hash_algorithms", "fuzzy_hash", "fuzzy_algorithms", "fuzzy_table")
         held = asdict(self)
         return hashlib.sha256(json.dumps({k: held[k] for k in names}, sort_keys=True).encode()).hexdigest()
 

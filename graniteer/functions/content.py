@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .blake3 import blake3
+
 # Names and signatures that decide results.
 TEXT_EXTENSIONS = ("txt", "log", "json", "xml", "yaml", "yml", "csv", "md", "rst", "ini", "cfg", "conf", "toml", "env", "html", "htm", "css", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "py", "rb", "php", "java", "kt", "swift", "sh", "bash", "zsh", "ps1")
 SIGNATURES = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462D", "application/pdf"), ("504B0304", "application/zip"), ("1F8B08", "application/gzip"), ("7F454C46", "application/x-executable"), ("425A68", "application/x-bzip2"), ("377ABCAF271C", "application/x-7z-compressed"), ("FD377A585A00", "application/x-xz"), ("52494646", "audio/x-wav"), ("494433", "audio/mpeg"), ("4F676753", "audio/ogg"), ("424D", "image/bmp"))
@@ -13,7 +15,7 @@ HEADER = 4_096
 
 def hashes(content: Column, algorithms: tuple[str, ...]) -> Column:
     """map of algorithm to hex; names that are not known are left out."""
-    known = {"md5": lambda: F.md5(content), "sha1": lambda: F.sha1(content), "sha256": lambda: F.sha2(content, 256)}
+    known = {"md5": lambda: F.md5(content), "sha1": lambda: F.sha1(content), "sha256": lambda: F.sha2(content, 256), "blake3": lambda: blake3(content)}
     pairs = [x for a in dict.fromkeys(algorithms) if a in known for x in (F.lit(a), known[a]())]
     return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 

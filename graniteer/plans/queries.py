@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import ScanConfig
 from ..functions import content as C
-from ..functions import detect
+from ..functions import detect, fuzzy, onepass
+from ..functions.blake3 import blake3
 from ..functions.paths import included
-from ..operators import records
+from ..operators import export, records
 from ..streaming import delta
+from .scan import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 SQL: dict[str, str] = {}
@@ -321,6 +324,49 @@ def delta_search_sums(spark, sf_dir):
     return joined.groupBy("doc_id").agg(long(F.sum(C.search_count(F.col("t"), "the"))).alias("hits"))
 
 
+@query("""select doc_id, unnest(['file.name', 'file.size', 'graniteer.file.hash.md5', 'graniteer.file.hash.sha256']) as key,
+  unnest([doc_id::varchar || '.txt', strlen(text)::varchar, md5(text), sha256(text)]) as value from documents""")
+def export_attributes(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), long(F.octet_length("text")).alias("size"), C.hashes(F.col("text").cast("binary"), ("md5", "sha256")).alias("hashes"))
+    listed = held.select("doc_id", F.explode(export.attributes(held, "file")).alias("a")).where("a.value.kvlistValue is null")
+    return listed.select("doc_id", F.col("a.key").alias("key"), F.coalesce("a.value.stringValue", "a.value.intValue").alias("value"))
+
+
+@query("select doc_id, strlen(text)::bigint as bytes, length(text)::bigint as chars from documents where strlen(text) >= 256")
+def log_bodies(spark, sf_dir):
+    held = docs(spark, sf_dir).select("doc_id", long(F.octet_length("text")).alias("size"), "text").where("size >= 256")
+    body = F.from_json(F.from_json("json", "body struct<stringValue:string>")["body"]["stringValue"], "doc_id long, size long, text string").alias("b")
+    return export.log_records(held, "file").select(body).select("b.doc_id", F.col("b.size").alias("bytes"), long(F.length("b.text")).alias("chars"))
+
+
+def blake3_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No such function in SQL; tested against published vectors."""
+    return docs(spark, sf_dir).select("doc_id", blake3(F.col("text")).alias("blake3"))
+
+
+def fuzzy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy.fuzzy_hashes(F.col("text").cast("binary"), F.octet_length("text"))
+    return docs(spark, sf_dir).select("doc_id", found["tlsh"].alias("tlsh")).where("tlsh is not null")
+
+
+def one_pass_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All critical types together, where one match closes its text to the others; tested on fixtures."""
+    given = onepass.critical(F.col("text"), list(detect.CRITICAL))
+    held = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), v.alias("m")) for k, v in given.items()])).alias("p"))
+    return held.where(F.size("p.m") > 0).select("doc_id", "p.pattern", long(F.size("p.m")).alias("n"), F.array_join("p.m", "|").alias("found"))
+
+
+def full_record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything a scan can say of each page."""
+    cfg = ScanConfig.load(scan_sensitive=True, sensitive_overlap="exact", fuzzy_hash=True, hash_algorithms=["md5", "blake3"])
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), long(F.octet_length("html")).alias("size"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
+    lines = records.envelopes(scan(files, cfg).drop("mtime"), "file")
+    return lines.select("record_type", "json")
+
+
+RUN |= {f.__name__: f for f in (blake3_inventory, fuzzy_inventory, one_pass_matches, full_record_scan)}
+
+
 def queries() -> dict[str, Query]:
     return dict(RUN)
 

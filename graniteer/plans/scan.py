@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import content as C
-from ..functions import detect
+from ..functions import detect, fuzzy, onepass
+from ..functions.metadata import metadata
 from ..functions.paths import included
 from ..operators.records import has_signal
 
@@ -25,12 +26,19 @@ def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
     cut = F.lit(False) if most is None else F.col("size") > most
     text = F.when(wanted, F.decode(body, "UTF-8"))
     names = detect.selected(cfg.include_sensitive_data_types, cfg.exclude_sensitive_data_types, cfg.custom_patterns)
+    per_type, total = cfg.per_type_limit, cfg.sensitive_max_total_matches
     out = held.withColumns({"mime_type": kind, "__text": text})
+    exact = cfg.scan_sensitive and cfg.sensitive_overlap == "exact"
+    given = onepass.critical(F.col("__text"), names, per_type, total) if exact else {}
+    if cfg.fuzzy_hash:
+        out = out.withColumn("fuzzy_hashes", fuzzy.fuzzy_hashes(F.col("content"), F.col("size"), cfg.fuzzy_min_size, cfg.fuzzy_max_size, cfg.fuzzy_table, cfg.fuzzy_algorithms))
+    if cfg.collect_metadata:
+        out = out.withColumn("metadata", metadata(F.col("content"), F.col("mime_type"), cfg.metadata_max_bytes))
     out = out.withColumns(
         {
             "hashes": F.when(small, C.hashes(F.col("content"), cfg.hash_algorithms)),
             "search_hits": C.search_hits(F.col("__text"), cfg.search_terms),
-            "__s": detect.sensitive(F.col("__text"), names if cfg.scan_sensitive else [], cfg.per_type_limit, cfg.sensitive_max_total_matches, cfg.redact_sensitive, cfg.custom_patterns, cfg.sensitive_longtail, cfg.sensitive_window_bytes),
+            "__s": detect.sensitive(F.col("__text"), names if cfg.scan_sensitive else [], per_type, total, cfg.redact_sensitive, cfg.custom_patterns, cfg.sensitive_longtail, cfg.sensitive_window_bytes, given),
             "content_scan_bytes": F.when(wanted, F.octet_length(body).cast("long")),
             "content_scan_truncated": wanted & cut,
         }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import stat
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,34 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 STAT = "path string, name string, size long, mtime timestamp, atime timestamp, ctime timestamp, mode int, uid int, gid int, dev long, inode long"
 
 
+XATTR_ENTRIES, XATTR_NAME_BYTES = 4_096, 1 << 20
+
+
+def xattrs(path: str, most: int) -> dict[str, str] | None:
+    """Extended attributes in Base64, each cut to `most` bytes (0: whole); none where they cannot be read."""
+    try:
+        names = os.listxattr(path, follow_symlinks=False)
+        if len(names) > XATTR_ENTRIES or sum(len(n) + 1 for n in names) > XATTR_NAME_BYTES:
+            return None
+        values = {n: os.getxattr(path, n, follow_symlinks=False) for n in names}
+    except (OSError, AttributeError):
+        return None
+    return {n: base64.b64encode(v[:most] if most > 0 else v).decode() for n, v in values.items()} or None
+
+
+def acl(path: str) -> str | None:
+    """The text of getfacl where that tool exists; else none."""
+    try:
+        done = subprocess.run(["getfacl", "-cp", "--", path], capture_output=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return done.stdout.decode("utf-8", "replace").strip() or None
+
+
 class TreeReader(DataSourceReader):
-    def __init__(self, roots: list[str], content: bool, most: int) -> None:
+    def __init__(self, roots: list[str], content: bool, most: int, xattr_bytes: int | None = None, with_acl: bool = False) -> None:
         self.roots, self.content, self.most = roots, content, most
+        self.xattr_bytes, self.with_acl = xattr_bytes, with_acl
 
     def partitions(self):
         """One for each root's own files, one for each directory below it."""
@@ -49,7 +76,9 @@ class TreeReader(DataSourceReader):
                     if deep:
                         todo.append(path)
                 elif stat.S_ISREG(s.st_mode):
-                    row = (path, name, s.st_size, utc(s.st_mtime), utc(s.st_atime), utc(s.st_ctime), s.st_mode, s.st_uid, s.st_gid, s.st_dev, s.st_ino)
+                    more = () if self.xattr_bytes is None else (xattrs(path, self.xattr_bytes),)
+                    more += (acl(path),) if self.with_acl else ()
+                    row = (path, name, s.st_size, utc(s.st_mtime), utc(s.st_atime), utc(s.st_ctime), s.st_mode, s.st_uid, s.st_gid, s.st_dev, s.st_ino, *more)
                     if not self.content:
                         yield row
                         continue
@@ -61,23 +90,27 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: roots (separated by newlines), content (true or false), max_bytes."""
+    """Options: roots (separated by newlines), content and acl (true or false), max_bytes, xattr_bytes (unset: no such column)."""
 
     @classmethod
     def name(cls) -> str:
         return "graniteer_tree"
 
     def schema(self) -> str:
-        return STAT + (", content binary" if self.options.get("content") == "true" else "")
+        o = self.options
+        return STAT + (", xattrs map<string,string>" if "xattr_bytes" in o else "") + (", acl string" if o.get("acl") == "true" else "") + (", content binary" if o.get("content") == "true" else "")
 
     def reader(self, schema):
-        return TreeReader(self.options["roots"].split("\n"), self.options.get("content") == "true", int(self.options.get("max_bytes", "0")))
+        o = self.options
+        return TreeReader(o["roots"].split("\n"), o.get("content") == "true", int(o.get("max_bytes", "0")), int(o["xattr_bytes"]) if "xattr_bytes" in o else None, o.get("acl") == "true")
 
 
-def tree(spark: SparkSession, roots: tuple[str, ...], content: bool = False, max_bytes: int = 0) -> DataFrame:
+def tree(spark: SparkSession, roots: tuple[str, ...], content: bool = False, max_bytes: int = 0, xattr_bytes: int | None = None, acl: bool = False) -> DataFrame:
     """Regular files under all roots, in no order; a root given twice counts twice."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("graniteer_tree").options(roots="\n".join(roots), content=str(content).lower(), max_bytes=str(max_bytes)).load()
+    held = {"roots": "\n".join(roots), "content": str(content).lower(), "max_bytes": str(max_bytes), "acl": str(acl).lower()}
+    held |= {} if xattr_bytes is None else {"xattr_bytes": str(xattr_bytes)}
+    return spark.read.format("graniteer_tree").options(**held).load()
 
 
 def rfc3339(ts: Column) -> Column:
