@@ -25,13 +25,25 @@ STREET_WORDS = ("street", "avenue", "road", "lane", "drive")
 STREET_ENDS = "Street|St|Avenue|Ave|Boulevard|Blvd|Road|Rd|Lane|Ln|Drive|Dr"
 
 
+WORDY = r"(?:\\d|(?<!\\)\[[A-Za-z0-9-]+\])"
+WORDY_NEXT = re.compile(rf"{WORDY}(?![?*]|\{{0)")
+WORDY_BEFORE = re.compile(rf"(?<!\\){WORDY}(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?$")
+
+
+def _edge(before: str, after: str) -> str:
+    """A word edge; one look-around is enough where the neighbour in the pattern is a word character for sure."""
+    if WORDY_NEXT.match(after):
+        return "(?<![0-9A-Za-z_])"
+    return "(?![0-9A-Za-z_])" if WORDY_BEFORE.search(before) else EDGE
+
+
 def to_java(pattern: str) -> str:
     """A linear-time regex's dialect in Java's: ASCII word edges and spaces, named groups. Raises ValueError for what cannot be said."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two in (r"\b", r"\B") and not in_class:
-            out.append(EDGE if two == r"\b" else f"(?!{EDGE})")
+            out.append(_edge(pattern[:i], pattern[i + 2 :]) if two == r"\b" else f"(?!{EDGE})")
         elif two == r"\s":
             out.append(SPACE[1:-1] if in_class else SPACE)
         elif two == r"\S" and not in_class:

@@ -1,8 +1,10 @@
 """Digests, one-pass detection, fields of files and export."""
 
+import base64
 import http.server
 import io
 import json
+import os
 import random
 import struct
 import threading
@@ -169,3 +171,25 @@ def test_posted_logs_arrive_once_each(spark):
     assert export.endpoint_of("http://h:1") == "http://h:1/v1/logs" and export.endpoint_of("https://h/x") == "https://h/x"
     with pytest.raises(ValueError):
         export.endpoint_of("ftp://h")
+
+
+def test_tree_with_extended_attributes(spark, tmp_path):
+    from graniteer.sources.files import tree, xattrs
+
+    (tmp_path / "a.txt").write_bytes(b"x")
+    try:
+        os.setxattr(tmp_path / "a.txt", "user.note", b"hello")
+        want = {"user.note": base64.b64encode(b"hell").decode()}
+    except OSError:  # a file system without them
+        want = None
+    row = tree(spark, (str(tmp_path),), content=True, xattr_bytes=4, acl=True).first()
+    assert (row["name"], row["xattrs"], bytes(row["content"])) == ("a.txt", want, b"x")
+    assert row["acl"] is None or row["acl"].startswith("user::")
+    assert xattrs(str(tmp_path / "none"), 4) is None
+
+
+@pytest.mark.parametrize("pattern,java", [(r"\b[A-Z]{2}\d+\b", r"(?<![0-9A-Za-z_])[A-Z]{2}\d+(?![0-9A-Za-z_])"), (r"\b\d?x", None), (r"\b\(?\d", None), (r"\[a]\b", None), (r"\d*\b", None)])
+def test_word_edges(pattern, java):
+    from graniteer.functions.detect import EDGE, to_java
+
+    assert to_java(pattern) == java if java else EDGE in to_java(pattern)
