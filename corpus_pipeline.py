@@ -39,15 +39,25 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+def in_slots(docs: DataFrame) -> DataFrame:
+    """Rows with slot and place, in their order; the text's hash as a tie makes both the same at every call."""
+    held = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    mixed = mixing.mix(held, SHARES, ties=("doc_id", "n_chars", "text_hash"))
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS, "slot", "place")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The files' order is the mixture's: rows come out in order of their slots."""
-    mixed = mixing.mix(docs.select(*COLUMNS), SHARES, ties=("doc_id", "n_chars"))
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
+    """Rows come out in order of the mixture's slots."""
+    return in_slots(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, with a check that decoding gives the text back."""
-    return pieces.encode_rows(docs, pieces.Codec.load(), keep=("doc_id", "lang", "source"))
+    """Token ids of every whole text in the mixture's order, with a check that decoding gives the text back.
+
+    A scan of the files does not keep their order, so slot and place are found again and kept:
+    reading by (slot, place) gives the mixture.
+    """
+    return pieces.encode_rows(in_slots(docs), pieces.Codec.load(), keep=("doc_id", "lang", "source", "slot", "place"))
 
 
 STAGES = [

@@ -13,7 +13,7 @@ import corpus_pipeline
 from graniteer.llm import ann, crf, langid, minhash, mixing, pieces, quality_rules, sharding, suffixes, toxicity
 from graniteer.llm import queries as Q
 from graniteer.llm.components import components
-from graniteer.llm.util import crc_of_id
+from graniteer.llm.util import crc_of_id, staged
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -333,6 +333,46 @@ def test_pipeline_equals_its_parts(spark):
     assert all(r["round_trip"] for r in held["tokens"]) and len(held["tokens"]) == len(held["mixing"])
 
 
+def near_shares(rows, block_rows=64):
+    """In order of (slot, place), no source strays a block from its share of a frame; given: rows of whole slots."""
+    blocks = {s: -(-n // block_rows) for s, n in Counter(r["source"] for r in rows).items()}
+    shares = {s: Q.SHARES.get(s, 1) for s in blocks}
+    want = [s for (s, _), _ in sorted(brute_edf(shares, blocks).items(), key=lambda x: x[1])]
+    got = {}
+    for r in rows:
+        got.setdefault(r["slot"], []).append(r)
+    assert [{r["source"] for r in got[t]} for t in sorted(got)] == [{s} for s in want] and sorted(got) == list(range(len(want)))
+    assert all(sorted(r["place"] for r in x) == list(range(len(x))) for x in got.values())
+    frame = sum(shares.values())
+    for start in range(0, frame * min(b // shares[s] for s, b in blocks.items()), frame):
+        for t in range(1, frame + 1):
+            assert all(abs(want[start : start + t].count(s) - t * shares[s] / frame) < 1 for s in shares)
+
+
+@have_data
+@have_pieces
+def test_pipeline_keeps_the_mixture(spark):
+    """The result of run() and of many files is in the mixture's order."""
+    near_shares(corpus_pipeline.run(spark, SF).collect())
+    rng = random.Random(11)
+    rows = [(i, words(rng, rng.choice((2, 2, 2, 400))), "en", "src0" if i % 2 else f"src{i % 3 + 1}", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOC).repartition(6).withColumn("n_chars", F.length("text").cast("long"))
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = staged(corpus_pipeline.mix_sources(spark, df, SF), "mixing")
+        out = corpus_pipeline.encode(spark, mixed, SF)
+        parts = out.select(F.spark_partition_id().alias("part"), "slot", "place", "source", "doc_id").collect()
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert len({r["part"] for r in parts}) > 3 and len(parts) == 3000
+    assert [(r["slot"], r["place"]) for r in parts] == sorted((r["slot"], r["place"]) for r in parts)
+    near_shares(parts)
+
+
 def test_crc_is_that_of_the_id_as_text(spark):
     import zlib
 
