@@ -339,6 +339,50 @@ def log_bodies(spark, sf_dir):
     return export.log_records(held, "file").select(body).select("b.doc_id", F.col("b.size").alias("bytes"), long(F.length("b.text")).alias("chars"))
 
 
+# The same over all documents, whatever their characters: SQL on blobs, where it slices bytes too.
+@query("""select doc_id, least(strlen(text), 1000)::bigint as content_scan_bytes, strlen(text) > 1000 as truncated,
+  md5(unhex(left(hex(encode(text)), 2000))) as prefix_md5 from documents""")
+def content_truncation_bytes(spark, sf_dir):
+    size, body = F.octet_length("text"), F.substring(F.col("text").cast("binary"), 1, 1000)
+    return docs(spark, sf_dir).select("doc_id", long(F.least(size, F.lit(1000))).alias("content_scan_bytes"), (size > 1000).alias("truncated"), F.md5(body).alias("prefix_md5"))
+
+
+@query(r"""with h as (select doc_id, left(hex(encode(text)), 8192) as x from documents),
+t as (select doc_id, x, try(decode(unhex(x))) as head from h)
+select doc_id, doc_id % 3 = 0 or coalesce(head <> '' and not contains(head, chr(0))
+  and length(head) - length(regexp_replace(head, '[\x00-\x08\x0E-\x1F]', '', 'g')) <= length(x) // 20, false) as eligible from t""")
+def content_eligibility_bytes(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".bin"))
+    return docs(spark, sf_dir).select("doc_id", C.eligible(name, F.lit("unknown"), F.col("text").cast("binary")).alias("eligible"))
+
+
+BYTE_VERSIONS = """
+a as (select doc_id, hex(encode(text)) as before, hex(encode(case when doc_id % 7 = 0 then text || ' tail' when doc_id % 7 = 1 then 'head ' || text else text end)) as now from documents),
+k as (select doc_id, i as idx, substring(now, (i * 1024 + 1)::bigint, 1024) as c, substring(before, (i * 1024 + 1)::bigint, 1024) as o from (select *, unnest(range(0, (length(now) + 1023) // 1024)) as i from a))"""
+
+
+@query(f"""with {BYTE_VERSIONS}, s as (select *, c = o and length(o) > 0 as same from k)
+select doc_id, idx::bigint as idx, same, same and coalesce(lag(same) over w, true) and coalesce(lead(same) over w, true) as reuse from s window w as (partition by doc_id order by idx)""")
+def delta_chunk_reuse_bytes(spark, sf_dir):
+    held = docs(spark, sf_dir)
+    now = held.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" tail"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("head "), "text")).otherwise(F.col("text")))
+    out = delta.reusable(delta.chunks(now, "doc_id", "text", 512), delta.chunks(held, "doc_id", "text", 512), "doc_id")
+    return out.select("doc_id", long(F.col("idx")).alias("idx"), "same", "reuse")
+
+
+@query("""with v as (select doc_id, case when doc_id % 7 = 0 then text || ' the tail' else text end as now from documents)
+select doc_id, coalesce((strlen(now) - strlen(replace(now, 'the', ''))) // 3, 0)::bigint as hits from v""")
+def delta_search_sums_bytes(spark, sf_dir):
+    """As delta_search_sums; chunks stay binary, since one may begin or end inside a character."""
+    held = docs(spark, sf_dir)
+    now = held.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" the tail"))).otherwise(F.col("text")))
+    parts = delta.chunks(now, "doc_id", "text", 512)
+    ahead = F.coalesce(F.lead("chunk").over(Window.partitionBy("doc_id").orderBy("idx")), F.lit(b""))
+    joined = parts.withColumn("t", F.decode(F.concat("chunk", F.substring(ahead, 1, 2)), "ISO-8859-1"))
+    sums = joined.groupBy("doc_id").agg(F.sum(C.search_count(F.col("t"), "the")).alias("hits"))
+    return held.select("doc_id").join(sums, "doc_id", "left").select("doc_id", long(F.coalesce("hits", F.lit(0))).alias("hits"))
+
+
 def blake3_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No such function in SQL; tested against published vectors."""
     return docs(spark, sf_dir).select("doc_id", blake3(F.col("text")).alias("blake3"))
