@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graniteer.llm import minhash, mixing, pieces, suffixes, toxicity
 from graniteer.llm.queries import SHARES
-from graniteer.llm.util import crc_of_id, staged
+from graniteer.llm.util import crc_of_id, ranked, staged
 
 ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,17 +25,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs.select(*COLUMNS), model, 0.7)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id: doc_id, or a number after all ids for a text without id and for further texts of an id.
+
+    Rows that agree in doc_id and text agree in row_id, others do not.
+    """
+    key = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("text_key")
+    pairs = docs.select("doc_id", key).distinct()
+    several = pairs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = pairs.join(several, "doc_id").where("text_key <> first").select("doc_id", "text_key")
+    more = staged(more.unionByName(pairs.where("doc_id is null")), "further-texts")
+    if not more.take(1):
+        return docs.select(*COLUMNS, F.col("doc_id").alias("row_id"))
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first()["m"]
+    own = ranked(more.withColumn("all", F.lit(0)), ["all"], ["doc_id", "text_key"])
+    own = staged(own.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), (F.col("rank") + top + 1).alias("own")), "own-numbers")
+    found = docs.select(*COLUMNS, key).join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
+    return found.select(*COLUMNS, F.coalesce("own", "doc_id").alias("row_id"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays."""
-    held = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(held).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = held.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*COLUMNS)
+    """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays.
+
+    Rows fold only where doc_id and text agree; a text without id, or a further text of an id, is a
+    document of its own after all others.
+    """
+    held = numbered(docs)
+    gone = minhash.near_duplicates(held, id_col="row_id").where("id <> component_id").select(F.col("id").alias("row_id")).distinct()
+    kept = held.join(gone, "row_id", "left_anti")
+    return kept.groupBy("row_id").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("r")).select("r.*").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 50 and more that start in an earlier document go; every document stays."""
-    out = suffixes.dedup(docs.select(*COLUMNS), keep=("lang", "source"))
+    out = suffixes.dedup(numbered(docs), keep=("doc_id", "lang", "source"), id_col="row_id")
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

@@ -373,6 +373,26 @@ def test_pipeline_keeps_the_mixture(spark):
     near_shares(parts)
 
 
+def test_pipeline_folds_only_rows_of_one_id_and_text(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(1, a), (1, b), (1, a), (2, c), (None, d), (None, d), (None, e), (None, c + " x"), (3, None), (3, None), (None, None), (7, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC).repartition(5)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    first = min(a, b, key=lambda t: hashlib.sha256(t.encode()).digest())  # the text that keeps the id
+    assert got == Counter([(1, a), (2, c), (None, d), (None, e), (3, None), (None, None)] + [(7, b) if first == a else (1, b)])
+    # Ranges found in one text of an id are not cut from another.
+    passage = words(rng, 30)
+    texts = [(1, f"{passage} {a}"), (1, f"{b} {passage} y"), (2, f"z {passage}"), (None, f"q {d} {passage}")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOC)
+    cut = [(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(spark, df, SF).collect()]
+    one = min((t for i, t in texts if i == 1), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert (1, one) in cut and len(cut) == 4
+    assert all(passage not in t for i, t in cut if t != one) and {i for i, _ in cut} == {1, 2, None}
+    assert all(any(x in t for _, t in cut) for x in (a, b, d))
+
+
 def test_crc_is_that_of_the_id_as_text(spark):
     import zlib
 
