@@ -10,9 +10,9 @@ verified on their full sets.
 Within a band's bucket no list of all pairs is made. First every member is compared with
 the bucket's smallest member, which joins most of a group of copies in one component. A bucket that still
 holds several components belongs to the arena of its largest one, where each member of
-another component (a stray) is compared with all of the arena on full sets: an arena is dealt
-in blocks of bounded size, a stray visits every block and is matched there by an inverted index, and
-only links come out. So no link between components is lost to the shortcut.
+another component (a stray) is compared with all of the arena on full sets: an arena and its
+strays are dealt in blocks of bounded size, every block of strays meets every block of the arena and
+is matched there by an inverted index, and only links come out. So no link between components is lost to the shortcut.
 
 With BANDS bands of ROWS rows, a pair at similarity 0.8 shares no band with probability
 (1 - 0.8**6)**50 < 3e-7.
@@ -195,16 +195,23 @@ def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, perc
     return staged(map_batches(whole, exact, "a long, b long"), "verified")
 
 
-def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components. mixed: (key, id, c) of buckets with several components; sizes: (id, n)."""
+def dealt(mixed: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(arena, block, ask_block, id, c, text, asks): each block of an arena with each block of its strays."""
     heads = mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.min(F.struct(-F.col("m"), "c"))["c"].alias("arena"))
     placed = mixed.join(heads, "key").select("arena", "id", "c").distinct()
     placed = staged(placed.join(sizes, "id"), "arenas")
-    blocks = placed.groupBy("arena").agg(F.ceil(F.sum("n") / ARENA_SHINGLES).cast("int").alias("blocks"))
+    bounded = lambda n: F.greatest(F.ceil(F.coalesce(F.sum(n), F.lit(0)) / ARENA_SHINGLES), F.lit(1)).cast("int")
+    blocks = placed.groupBy("arena").agg(bounded(F.col("n")).alias("blocks"), bounded(F.when(F.col("c") != F.col("arena"), F.col("n"))).alias("ask_blocks"))
     held = placed.join(blocks, "arena").join(texts, "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    targets = held.select("arena", own.alias("block"), "id", "c", "text", F.lit(False).alias("asks"))
-    strays = held.where("c <> arena").select("arena", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "c", "text", F.lit(True).alias("asks"))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    own = lambda n, name: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(name)
+    targets = held.select("arena", own("blocks", "block"), every("ask_blocks", "ask_block"), "id", "c", "text", F.lit(False).alias("asks"))
+    strays = held.where("c <> arena").select("arena", every("blocks", "block"), own("ask_blocks", "ask_block"), "id", "c", "text", F.lit(True).alias("asks"))
+    return targets.union(strays)
+
+
+def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components. mixed: (key, id, c) of buckets with several components; sizes: (id, n)."""
 
     def match(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -232,7 +239,7 @@ def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
                         out[1].append(min(doc, int(ids[j])))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    return staged(map_groups(targets.union(strays), ["arena", "block"], match, "a long, b long"), "arena-links")
+    return staged(map_groups(dealt(mixed, sizes, texts), ["arena", "block", "ask_block"], match, "a long, b long"), "arena-links")
 
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -257,6 +257,29 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert minhash.near_duplicates(df.limit(0), width).count() == 0
 
 
+def test_strays_are_dealt_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ARENA_SHINGLES", 500)
+    rng = random.Random(9)
+    base = words(rng, 60).split()
+    texts = []
+    for i in range(150):
+        w = [f"t{i}n{k}" if k in (at := set(rng.sample(range(60), 5))) else x for k, x in enumerate(base)] if i % 3 else list(base)
+        w[59] = f"e{i}"
+        texts.append(" ".join(w))
+    sets = [minhash.shingle_set(t, 2) for t in texts]
+    mixed = spark.createDataFrame([(1, i, 0 if i % 3 == 0 else i) for i in range(len(texts))], "key long, id long, c long")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "id long, n long")
+    held = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    largest = Counter()
+    for r in minhash.dealt(mixed, sizes, held).collect():
+        largest[r["block"], r["ask_block"], r["asks"]] += len(sets[r["id"]])
+    assert max(largest.values()) <= 3 * 500
+    got = {(r["a"], r["b"]) for r in minhash.arena_links(mixed, sizes, held, 2, 80).collect()}
+    comp = [0 if i % 3 == 0 else i for i in range(len(texts))]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert got == want and want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
