@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import map_batches, text_slices
@@ -191,9 +191,19 @@ def calibrate(raw: np.ndarray, y: np.ndarray, cut: float, balanced: bool = True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, cut: float = 0.3) -> Model:
-    """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits. Without any, scores are 0.5."""
+    """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits. Without any, scores are 0.5.
+
+    Documents are taken in the order of their id's hash until MAX_LINES lines are met; one of more lines by itself is passed over.
+    """
     held = labels.where(usable & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    few = held.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(sample)
+    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    few = held.orderBy(order, "doc_id").limit(sample)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counted = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).join(F.broadcast(few), "doc_id")
+    counted = counted.groupBy("doc_id").agg(F.max("n").alias("n")).where(F.col("n") <= MAX_LINES)
+    upto = F.sum("n").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # `sample` rows at most
+    taken = counted.select("doc_id", upto.alias("upto")).where(F.col("upto") <= MAX_LINES).select("doc_id")
+    few = few.join(F.broadcast(taken), "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches):
@@ -206,11 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
                     names=["y", "x", "length"],
                 )
 
-    rows, lines = [], 0
-    for r in map_batches(texts, run, "y int, x binary, length binary").toLocalIterator():
-        if lines + len(r["length"]) // 4 <= MAX_LINES:
-            lines += len(r["length"]) // 4
-            rows.append((r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["length"], np.float32)))
+    got = map_batches(texts, run, "y int, x binary, length binary").toLocalIterator()
+    rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["length"], np.float32)) for r in got]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # rows arrive in any order
     if not rows:
         return Model((0.0,) * N_FEATURES, (0.0,) * 4, 1.0, 0.0)

@@ -135,6 +135,24 @@ def test_classifiers_without_labels_and_with_odd_texts(spark):
         assert module.score(df.limit(0), model).count() == 0
 
 
+def test_lines_are_bounded_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(crf, "MAX_LINES", 60)
+    rng = random.Random(4)
+    rows = [(i, "\n".join(words(rng, 5) + ("!" * 9 if i % 2 else "") for _ in range(rng.choice((1, 3, 12)))), i % 2) for i in range(60)]
+    rows.append((60, "\n" * 100, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    order = [r[0] for r in df.where("doc_id < 60").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7))).select("doc_id").collect()]
+    size, first, total = {r[0]: r[1].count("\n") + 1 for r in rows}, [], 0
+    for i in order:
+        total += size[i]
+        if total > 60:
+            break
+        first.append(i)
+    fit = lambda d, only=F.lit(True): crf.fit(d, df.select("doc_id", "quality"), only)
+    want = fit(df, F.col("doc_id").isin(first))
+    assert fit(df.coalesce(1)) == want == fit(df.repartition(6, F.col("text")))
+
+
 # 4
 def brute_cut(rows, width=50):
     first, out = {}, {}
