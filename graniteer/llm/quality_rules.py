@@ -1,12 +1,15 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Signals are integers (mostly parts in a thousand). For each (language, source) a mergeable
-quantile sketch is kept of each signal: counts in log-linear buckets (exact below 32, then
-16 buckets for each power of two, so a quantile is at most 1/16 off). Sketches merge by adding
-counts, hence the result does not depend on partitions or retries. From the quartiles
-come Tukey fences, which take the place of fixed cutoffs; groups with few documents use the
-merged sketch of their language, then of the corpus. Documents are joined with their
-group's fences and kept if they are inside all of them.
+Signals are integers (parts in a thousand). For each (language, source) a mergeable
+quantile sketch is kept of each signal and of the sizes that signals are parts of: counts in log-linear buckets
+(exact below 32, then 16 buckets for each power of two, so a quantile is at most 1/16 off). Sketches merge by adding
+counts, hence the result does not depend on partitions or retries.
+
+Quartiles of a group are blended with those of its language, which are blended with the corpus's, in
+proportion to the documents in each (PRIOR documents' weight for the wider one), so that small groups lean on the wider
+sketch and nothing changes at a threshold of size. From the quartiles come Tukey fences, which take the place of fixed
+cutoffs, and an allowance of SPREADS events in a document of the group's median size, in proportion for longer ones.
+Documents are joined with their group's fences and kept if they are inside all of them.
 """
 
 from __future__ import annotations
@@ -16,22 +19,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import map_batches, null_key, staged, text_slices
+from .util import map_batches, null_key, reject, staged, text_slices
 
 WINDOW = 8
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_adjacent", "n_bangs", "n_upper")
-#: Signal: numerator, denominator, least distance of the fence from the third quartile (in thousandths).
+#: Signal: numerator, denominator, size of one event in the numerator's unit (a repeat is two windows).
 SIGNALS = {
-    "symbols": ("n_symbols", "word_chars", 25),
-    "dup_lines": ("n_dup_lines", "n_lines", 300),
-    "repeats": ("n_repeat_words", "n_words", 200),
-    "adjacent": ("n_adjacent", "n_words", 60),
-    "bangs": ("n_bangs", "word_chars", 25),
-    "upper": ("n_upper", "word_chars", 120),
+    "symbols": ("n_symbols", "word_chars", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 2 * WINDOW),
+    "adjacent": ("n_adjacent", "n_words", 1),
+    "bangs": ("n_bangs", "word_chars", 1),
+    "upper": ("n_upper", "word_chars", 1),
 }
-#: Fence: third quartile plus so many interquartile ranges; groups under MIN_GROUP use the next wider sketch.
-SPREADS, MIN_GROUP = 3, 100
+SIZES = ("word_chars", "n_lines", "n_words")
+#: A fence is the third quartile plus so many interquartile ranges and events; documents that the wider sketch counts for.
+SPREADS, PRIOR = 3, 100
+#: Fences are broadcast up to so many groups (some 100 bytes each); beyond, the join is salted.
+BROADCAST_GROUPS, SALTS = 20_000, 32
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -103,43 +109,59 @@ def signal(name: str) -> Column:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """lk, sk, signal, bucket, n: one sketch per language and source, null being a value."""
-    rows = F.array(*[F.struct(F.lit(k).alias("signal"), bucket(signal(k)).alias("bucket")) for k in SIGNALS])
+    """lk, sk, signal, bucket, n: one sketch per language and source of each signal and size, null being a value."""
+    values = {k: signal(k) for k in SIGNALS} | {k: F.col(k) for k in SIZES}
+    rows = F.array(*[F.struct(F.lit(k).alias("signal"), bucket(v).alias("bucket")) for k, v in values.items()])
     held = counted.select(null_key(F.col("lang")).alias("lk"), null_key(F.col("source")).alias("sk"), F.explode(rows).alias("x"))
     return held.groupBy("lk", "sk", "x.signal", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """lk, sk and an upper fence per signal, from the narrowest sketch with MIN_GROUP documents."""
+    """lk, sk, an upper fence for each signal and the median of each size."""
 
     def of(keys: list[str], name: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "signal")
         run = merged.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w)})
-        q = lambda part: F.min(F.when(F.col("below") * 4 >= F.col("all") * part, bucket_top(F.col("bucket"))))
-        least = F.create_map(*[x for k, v in SIGNALS.items() for x in (F.lit(k), F.lit(v[2]))])
-        quartiles = run.groupBy(*keys, "signal").agg(q(1).alias("q1"), q(3).alias("q3"), F.max("all").alias("docs"))
-        fence = F.col("q3") + F.greatest(SPREADS * (F.col("q3") - F.col("q1")), least[F.col("signal")])
-        return quartiles.select(*keys, "signal", F.struct(F.col("docs"), fence.cast("bigint").alias("fence")).alias(name))
+        q = [F.min(F.when(F.col("below") * 4 >= F.col("all") * i, bucket_top(F.col("bucket")))).alias(f"q{i}") for i in (1, 2, 3)]
+        quartiles = run.groupBy(*keys, "signal").agg(*q, F.max("all").alias("docs"))
+        return quartiles.select(*keys, "signal", F.struct("q1", "q2", "q3", "docs").alias(name))
+
+    def blend(own: str, wide: str, q: str) -> str:
+        return f"({own}.docs * {own}.{q} + {PRIOR} * {wide}.{q}) div ({own}.docs + {PRIOR})"
 
     narrow, by_lang, whole = of(["lk", "sk"], "a"), of(["lk"], "b"), of([], "c")
-    best = F.when(F.col("a.docs") >= MIN_GROUP, F.col("a.fence")).when(F.col("b.docs") >= MIN_GROUP, F.col("b.fence")).otherwise(F.col("c.fence"))
     joined = narrow.join(by_lang, ["lk", "signal"]).join(whole, "signal")
-    return joined.groupBy("lk", "sk").pivot("signal", list(SIGNALS)).agg(F.first(best)).select("lk", "sk", *[F.col(k).alias(f"fence_{k}") for k in SIGNALS])
+    joined = joined.withColumn("m", F.expr(f"named_struct({', '.join(f"'{q}', {blend('b', 'c', q)}" for q in ('q1', 'q2', 'q3'))})"))
+    joined = joined.withColumns({q: F.expr(blend("a", "m", q)) for q in ("q1", "q2", "q3")})
+    limit = F.when(F.col("signal").isin(*SIZES), F.greatest(F.col("q2"), F.lit(1))).otherwise(F.expr(f"q3 + {SPREADS} * (q3 - q1)"))
+    return joined.groupBy("lk", "sk").pivot("signal", [*SIGNALS, *SIZES]).agg(F.first(limit)).select("lk", "sk", *[F.col(k).alias(f"fence_{k}") for k in SIGNALS], *[F.col(k).alias(f"median_{k}") for k in SIZES])
+
 
+def with_fences(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows with their group's limits, without meeting at one task for a large group."""
+    held = counted.withColumns({"lk": null_key(F.col("lang")), "sk": null_key(F.col("source"))})
+    if limits.count() <= BROADCAST_GROUPS:
+        return held.join(F.broadcast(limits), ["lk", "sk"])
+    salts = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return held.withColumn("salt", F.pmod(F.xxhash64(*[c for c in counted.columns]), F.lit(SALTS)).cast("int")).join(salts, ["lk", "sk", "salt"]).drop("salt")
 
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, lang, source, COUNTS, base_failed, each signal's verdict and kept, for every row.
+
+def judge(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """keep columns (lang and source among them), COUNTS, limits, base_failed, each signal's verdict and kept, for every row.
 
     Null texts and empty ones count nothing and fail the base rule; null languages and sources
-    are groups of their own; repeated rows are judged alike; an empty table gives none.
+    are groups of their own; repeated rows are judged alike; an empty table gives none. A column of keep named as one
+    of those added is refused (ValueError); others of the input are left out.
     """
-    counted = staged(measure(df, text), "quality-counts")
-    limits = fences(sketches(counted))
-    held = counted.withColumns({"lk": null_key(F.col("lang")), "sk": null_key(F.col("source"))}).join(limits, ["lk", "sk"], "left")
+    added = [*COUNTS, "lk", "sk", "salt", "base_failed", "kept", *[f"{p}_{k}" for k in SIGNALS for p in ("fence", "ok")], *[f"median_{k}" for k in SIZES]]
+    reject(df.select(*keep), *added)
+    counted = staged(measure(df, text, keep), "quality-counts")
+    held = with_fences(counted, staged(fences(sketches(counted)), "fences"))
     held = held.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
-    for k in SIGNALS:
-        held = held.withColumn(f"ok_{k}", F.coalesce(signal(k) <= F.col(f"fence_{k}"), F.lit(True)))
+    for k, (top, below, event) in SIGNALS.items():
+        most = F.expr(f"fence_{k} * {below} div 1000 + {SPREADS * event} * greatest({below}, median_{below}) div median_{below}")
+        held = held.withColumn(f"ok_{k}", F.col(top) <= most)
     kept = ~F.col("base_failed")
     for k in SIGNALS:
         kept = kept & F.col(f"ok_{k}")

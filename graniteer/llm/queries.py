@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, crf, langid, minhash, mixing, pieces, quality_rules, sharding, suffixes, toxicity
+from . import ann, crf, langid, minhash, mixing, pieces, quality_rules, sharding, sql, suffixes, toxicity
 from .util import crc_of_id
 
 #: Target shares of the mixture; a source that is not named has share 1.
@@ -56,7 +56,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32")
     )
-    placed = sharding.shard_rows(docs, "doc_id", 8, ties=("text_crc32", "size"))
+    placed = sharding.shard_rows(docs, "doc_id", 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": sql.op1(), "op2_mixing": sql.op2(SHARES), "op8_sharding": sql.op8()}

@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import ranked
+from .util import each_copy, ranked, reject, row_key, staged
 
 #: The ring's length; cells are for finding a key's arc.
 RING_BITS, CELL_BITS = 52, 12
@@ -51,38 +51,36 @@ def _arc_ranges(points: list[tuple[int, int]]) -> list[tuple[int, int, int, int]
     return out
 
 
-def shard_rows(df: DataFrame, key: str, shards: int = 8, vnodes: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+def shard_rows(df: DataFrame, key: str, shards: int = 8, vnodes: int = 64) -> DataFrame:
     """Add `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard) to every row.
 
-    key may be null (null is one key) and may repeat: rows of one key share an arc, and are
-    told apart by `ties`. An empty input gives an empty result. Rows that are alike in key
-    and ties may swap slots, which no one can see. Columns named shard, slot or __* must
-    not be in the input; other columns pass through.
+    key may be null (null is one key) and may repeat: rows of one key share an arc, in the order of a hash of the whole row.
+    Rows alike in all columns are held once with their number; which of them has which slot cannot be told. An empty input gives
+    an empty result. Columns named shard, slot or __* must not be in the input (ValueError); other columns pass through.
+    The rows are written once to the shared folder and counted, ranked and placed from there.
     """
-    spark = df.sparkSession
-    points = ring(shards, vnodes)
+    reject(df, "shard", "slot")
+    spark, points = df.sparkSession, ring(shards, vnodes)
     text = ";".join(",".join(map(str, r)) for r in _arc_ranges(points))
     parts = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("t")).select(F.split("t", ",").alias("p"))
     arcs = parts.select(*[F.col("p")[i].cast(k).alias(c) for i, (c, k) in enumerate((("__rc", "long"), ("__low", "long"), ("__high", "long"), ("__arc", "int")))])
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("\x00null")).cast("binary")), 1, 13), 16, 10).cast("long")
-    held = df.withColumn("__at", h).withColumn("__rc", F.shiftrightunsigned("__at", RING_BITS - CELL_BITS))
+    at = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null")).cast("binary")), 1, 13), 16, 10).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    held = df.select(row, row_key(df).alias("__key"), at.alias("__at")).groupBy("__key").agg(F.first("__row").alias("__row"), F.first("__at").alias("__at"), F.count(F.lit(1)).alias("__n"))
+    held = held.withColumn("__rc", F.shiftrightunsigned("__at", RING_BITS - CELL_BITS))
     # The arc table's size is fixed by shards and vnodes: 4096 + shards * vnodes rows.
-    held = held.join(F.broadcast(arcs), (held["__rc"] == arcs["__rc"]) & held["__at"].between(arcs["__low"], arcs["__high"])).drop("__rc", "__low", "__high")
-    held = ranked(held, ["__arc"], ["__at", key, *ties], "__rank").drop("__at")
-    plan = F.broadcast(_walk(held, points, shards))
+    held = held.join(F.broadcast(arcs), (held["__rc"] == arcs["__rc"]) & held["__at"].between(arcs["__low"], arcs["__high"])).drop("__rc", "__low", "__high", "__at")
+    held = staged(held, "arcs")
+    plan = staged(_walk(held, points, shards), "walk")  # a row for each arc
+    held = each_copy(ranked(held, ["__arc"], attach=plan))
     spill = F.col("__over") + F.col("__rank") - F.col("__taken")
     event = F.element_at(F.filter("__events", lambda e: (spill >= e["from"]) & (spill < e["from"] + e["len"])), 1)
     home = F.col("__rank") < F.col("__taken")
-    return (
-        held.join(plan, "__arc")
-        .withColumn("__e", F.when(~home, event))
-        .withColumns(
-            {
-                "shard": F.when(home, F.col("__home")).otherwise(F.col("__e.shard")).cast("int"),
-                "slot": F.when(home, F.col("__base") + F.col("__rank")).otherwise(F.col("__e.base") + spill - F.col("__e.from")).cast("long"),
-            }
-        )
-        .drop("__arc", "__rank", "__home", "__taken", "__base", "__over", "__events", "__e")
+    placed = held.withColumn("__e", F.when(~home, event))
+    return placed.select(
+        "__row.*",
+        F.when(home, F.col("__home")).otherwise(F.col("__e.shard")).cast("int").alias("shard"),
+        F.when(home, F.col("__base") + F.col("__rank")).otherwise(F.col("__e.base") + spill - F.col("__e.from")).cast("long").alias("slot"),
     )
 
 
@@ -90,7 +88,7 @@ def _walk(held: DataFrame, points: list[tuple[int, int]], shards: int) -> DataFr
     """One row per arc: keys taken at home, their first slot, and where the rest goes."""
     n = len(points)
     empty = held.sparkSession.range(n).select(F.col("id").cast("int").alias("__arc"))
-    counts = held.groupBy("__arc").agg(F.count(F.lit(1)).alias("n"))
+    counts = held.groupBy("__arc").agg(F.sum("__n").alias("n"))
     per_arc = empty.join(counts, "__arc", "left").select("__arc", F.coalesce("n", F.lit(0)).alias("n"))
     one = per_arc.agg(F.transform(F.sort_array(F.collect_list(F.struct("__arc", "n"))), lambda x: x["n"]).alias("ns"), F.sum("n").alias("total"))
     one = one.where(F.col("total") > 0)

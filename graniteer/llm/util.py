@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 import pyarrow as pa
@@ -15,11 +15,10 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graniteer-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -77,28 +76,57 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-#: Rows a ranking cell should hold, and the most cells there are.
-CELL_ROWS, MAX_CELLS = 1_000, 1 << 16
+def reject(df: DataFrame, *added: str) -> None:
+    """ValueError if df has a column that an operator adds, or one for its own use (__*)."""
+    low = {c.lower() for c in added}
+    clash = [c for c in df.columns if c.lower() in low or c.startswith("__")]
+    if clash:
+        raise ValueError(f"columns of these names must not be in the input: {', '.join(clash)}")
 
 
-def ranked(df: DataFrame, keys: list[str], ties: list[str], out: str = "rank") -> DataFrame:
-    """Number the rows of every key from 0 in hash order, without one task per key.
+def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """SHA-256 (binary) of a row: each value's length and text in turn, n for null. Rows with one key are alike."""
 
-    A row's hash picks a cell (leading part of the hash); rows are numbered inside
-    (key, cell), and the cells' offsets come from a small table of counts, so that a key
-    with a third of all rows is spread over all cells. `keys` must not be null.
+    def text(c: str, kind: str) -> Column:
+        col = F.col(f"`{c}`")
+        plain = F.hex(col) if kind == "binary" else F.to_json(F.struct(col)) if kind.startswith(("array", "map", "struct")) else col.cast("string")
+        return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.length(plain).cast("string"), F.lit(":"), plain))
+
+    return F.unhex(F.sha2(F.concat(F.lit(""), *[text(c, k) for c, k in df.dtypes if columns is None or c in columns]), 256))
+
+
+#: Rows that a ranking cell should hold, and cells that are summed up together.
+CELL_ROWS, COARSE = 1_000, 1_024
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str = "__key", n: str = "__n", out: str = "__start", attach: DataFrame | None = None) -> DataFrame:
+    """Add `out`: how many (the sum of n) of a key's rows come before, in order of the binary column `order`.
+
+    The leading bits of `order`, which must be a hash that differs from row to row, pick a cell; rows are summed
+    inside (key, cell), and the cells' offsets come from tables of sums in two levels, so that a key with a third of
+    all rows is spread over all cells, whose number follows the rows. `keys` must not be null. `attach`, one row for each key, is joined by way of the
+    cells' offsets, so no key's rows meet in one task for it either.
     """
-    cells = min(MAX_CELLS, max(1, -(-df.count() // CELL_ROWS)))
-    h = F.xxhash64(*[F.col(c) for c in ties])
-    cell = F.floor((F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))) * cells).cast("int")
-    held = df.withColumns({"__h": F.shiftrightunsigned(h, 1), "__cell": cell})
-    counts = held.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*keys, "__cell").orderBy("__h", *ties)
-    numbered = held.withColumn("__r", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, [*keys, "__cell"])
-        .withColumn(out, (F.col("__before") + F.col("__r")).cast("long"))
-        .drop("__h", "__cell", "__r", "__before")
-    )
+    spark = rows.sparkSession
+    cells = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / CELL_ROWS))
+    cell = F.floor(F.conv(F.hex(F.substring(order, 1, 6)), 16, 10).cast("double") / F.lit(float(1 << 48)) * cells).cast("long")
+    held = rows.withColumn("__cell", cell)
+    counts = staged(held.groupBy(*keys, "__cell").agg(F.sum(n).alias("__c")), "cells").withColumn("__coarse", F.expr(f"__cell div {COARSE}"))
+    before = lambda c, *by: F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = counts.groupBy(*keys, "__coarse").agg(F.sum("__c").alias("__c")).select(*keys, "__coarse", before("__coarse", *keys).alias("__b"))
+    offsets = counts.withColumn("__a", before("__cell", *keys, "__coarse")).join(coarse, [*keys, "__coarse"]).select(*keys, "__cell", (F.col("__a") + F.col("__b")).alias("__before"))
+    offsets = offsets if attach is None else offsets.join(attach, keys)
+    inside = Window.partitionBy(*keys, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = held.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return numbered.join(offsets, [*keys, "__cell"]).withColumn(out, (F.col("__before") + F.col("__in")).cast("long")).drop("__cell", "__in", "__before")
+
+
+#: Copies of one row are dealt out in runs of this many, so that no array grows with them.
+COPY_RUN = 4_096
+
+
+def each_copy(rows: DataFrame, start: str = "__start", n: str = "__n", out: str = "__rank") -> DataFrame:
+    """A row for each of n copies, numbered from `start`; both columns go."""
+    runs = rows.withColumn("__run", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {COPY_RUN})")))
+    low = F.expr(f"{start} + __run * {COPY_RUN}")
+    return runs.withColumn(out, F.explode(F.sequence(low, F.least(low + COPY_RUN, F.col(start) + F.col(n)) - 1))).drop("__run", start, n)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graniteer.llm import ann, crf, langid, minhash, mixing, pieces, quality_rules, sharding, suffixes, toxicity
 from graniteer.llm import queries as Q
+from graniteer.llm import util
 from graniteer.llm.components import components
 from graniteer.llm.util import crc_of_id, staged
 
@@ -60,6 +61,55 @@ def test_quality_rules_edges(spark):
     got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
     assert len(got) == len(ODD) and got[0]["base_failed"] and not got[0]["kept"] and got[6]["base_failed"]
     assert quality_rules.judge(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        quality_rules.judge(df, keep=("doc_id", "lang", "source", "fence_upper"))
+
+
+def brute_fences(rows):
+    """rows: (group, lang, values by name). Blended quartiles of bucketed values, by sorting."""
+
+    def top(v):
+        if v < 32:
+            return v
+        shift = v.bit_length() - 5
+        return ((v >> shift) + 1 << shift) - 1
+
+    def quartiles(vs):
+        vs = sorted(map(top, vs))
+        return [vs[-(-len(vs) * i // 4) - 1] for i in (1, 2, 3)], len(vs)
+
+    out, prior = {}, quality_rules.PRIOR
+    for k in rows[0][2]:
+        whole = quartiles([v[k] for _, _, v in rows])[0]
+        for g, lang, _ in rows:
+            by_lang, n = quartiles([v[k] for _, x, v in rows if x == lang])
+            mid = [(n * a + prior * b) // (n + prior) for a, b in zip(by_lang, whole)]
+            own, n = quartiles([v[k] for x, y, v in rows if (x, y) == (g, lang)])
+            out[g, lang, k] = [(n * a + prior * b) // (n + prior) for a, b in zip(own, mid)]
+    return out
+
+
+@pytest.mark.parametrize("groups", [0, 100])
+def test_kept_equals_brute_force(spark, monkeypatch, groups):
+    """Also where the fences' join is salted instead of broadcast."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", groups)
+    rng = random.Random(8)
+    texts = ["\n".join(words(rng, rng.randint(3, 30)) + rng.choice(["", "!", " A B #", " x x x", "$$$"]) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    texts += [t + " #" * rng.randint(0, 60) + "!" * rng.randint(0, 40) for t in texts[:40]] + ODD
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", None]), 0) for i, t in enumerate(texts)]
+    counts = [dict(zip(quality_rules.COUNTS, quality_rules.text_counts(t), strict=True)) for t in texts]
+    of = lambda c: {k: c[top] * 1000 // c[low] if c[low] else 0 for k, (top, low, _) in quality_rules.SIGNALS.items()} | {k: c[k] for k in quality_rules.SIZES}
+    limits = brute_fences([(r[3], r[2], of(c)) for r, c in zip(rows, counts)])
+    want = {}
+    for r, c in zip(rows, counts):
+        good = c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"]
+        for k, (top, low, event) in quality_rules.SIGNALS.items():
+            q1, _, q3 = limits[r[3], r[2], k]
+            size = max(limits[r[3], r[2], low][1], 1)
+            good &= c[top] <= (q3 + 3 * (q3 - q1)) * c[low] // 1000 + 3 * event * max(c[low], size) // size
+        want[r[0]] = good
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == want and 20 < sum(want.values()) < 170
 
 
 def test_sketch_buckets(spark):
@@ -82,10 +132,15 @@ def brute_edf(shares, blocks):
     return out
 
 
+def scheduled(spark, shares, blocks):
+    df = spark.createDataFrame([(s, shares[s], n) for s, n in blocks.items()], "src string, share int, n long")
+    plan = mixing.phases(df).select("src", "share", "phases", F.explode(F.expr(f"sequence(0L, {max(blocks.values())}L)")).alias("block"))
+    return mixing.in_schedule(plan.join(df.select("src", "n"), "src").where("block < n")).collect()
+
+
 def test_mixing_equals_brute_force_and_stays_near_its_shares(spark):
     shares, blocks = {"a": 5, "b": 2, "c": 1, "d": 3}, {"a": 23, "b": 40, "c": 3, "d": 9}
-    df = spark.createDataFrame([(s, shares[s], n) for s, n in blocks.items()], "src string, share int, n long")
-    rows = mixing.schedule(df).collect()
+    rows = scheduled(spark, shares, blocks)
     assert {(r["src"], r["block"]): r["slot"] for r in rows} == brute_edf(shares, blocks)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows) and sorted(r["slot"] for r in rows) == list(range(sum(blocks.values())))
     first = [r["src"] for r in sorted(rows, key=lambda r: r["slot"])][:11]
@@ -93,12 +148,35 @@ def test_mixing_equals_brute_force_and_stays_near_its_shares(spark):
         assert all(abs(first[:t].count(s) - t * shares[s] / 11) < 1 for s in shares)
 
 
+def test_mixing_of_random_sources_equals_brute_force(spark):
+    rng = random.Random(2)
+    for _ in range(3):
+        shares = {f"s{i}": rng.randint(1, 6) for i in range(rng.randint(1, 7))}
+        blocks = {s: rng.randint(1, 30) for s in shares}
+        assert {(r["src"], r["block"]): r["slot"] for r in scheduled(spark, shares, blocks)} == brute_edf(shares, blocks)
+
+
 def test_mixing_edges(spark):
     df = docs(spark, ODD).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source"))).unionByName(docs(spark, ODD[:2]))
-    assert mixing.mix(df, {"s": 2}, block_rows=2).count() == len(ODD) + 2
+    rows = mixing.mix(df, {"s": 2}, block_rows=2).collect()
+    assert len(rows) == len(ODD) + 2 and len({(r["slot"], r["place"]) for r in rows}) == len(rows)
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter([*enumerate(ODD), *enumerate(ODD[:2])])
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, {"s": 0})
+    for name in ("slot", "Place", "__src"):
+        with pytest.raises(ValueError):
+            mixing.mix(df.withColumn(name, F.lit(1)))
+
+
+def test_mixing_and_sharding_of_many_copies_of_one_row(spark):
+    """Copies come in runs, so none is lost at a run's edge; null ids and alike rows do not matter."""
+    n = 2 * util.COPY_RUN + 5
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source")).unionByName(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("t").alias("source")))
+    got = mixing.mix(df, block_rows=10).collect()
+    assert len(got) == n + 3 and len({(r["slot"], r["place"]) for r in got}) == n + 3
+    held = sharding.shard_rows(df, "doc_id", 3).collect()
+    assert len(held) == n + 3 and len({(r["shard"], r["slot"]) for r in held}) == n + 3
 
 
 # 3
@@ -305,6 +383,43 @@ def test_components_of_a_path_and_a_star(spark):
 
 
 # 8
+def brute_shards(keys, shards, vnodes=64):
+    """Every row walks clockwise by itself: own arcs first in ring order, then the overflow in turn."""
+    points = sharding.ring(shards, vnodes)
+    owner = [s for _, s in points]
+    room = [len(keys) // shards + (j < len(keys) % shards) for j in range(shards)]
+    arcs = [[] for _ in points]
+    for k, order in sorted(keys, key=lambda x: x[1]):
+        h = int(hashlib.md5(("\0null" if k is None else str(k)).encode()).hexdigest()[:13], 16)
+        arcs[next((i for i, (p, _) in enumerate(points) if p >= h), 0)].append((k, order))
+    out, used, over = {}, [0] * shards, []
+    for a, rows in enumerate(arcs):
+        for x in rows:
+            if used[owner[a]] < room[owner[a]]:
+                out[x] = (owner[a], used[owner[a]])
+                used[owner[a]] += 1
+            else:
+                over.append((a, x))
+    queue = []
+    for e in range(2 * len(points)):
+        j = owner[e % len(points)]
+        while queue and used[j] < room[j]:
+            out[queue.pop(0)] = (j, used[j])
+            used[j] += 1
+        if e < len(points):
+            queue += [x for a, x in over if a == e]
+    return out
+
+
+def test_shards_equal_a_walk_row_by_row(spark):
+    df = spark.range(700).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    df = df.unionByName(spark.range(90).select(F.lit(3).cast("long").alias("k"), (F.col("id") + 1000).alias("v")))
+    keys = {r["v"]: (r["k"], bytes(r["key"])) for r in df.select("k", "v", util.row_key(df).alias("key")).collect()}
+    want = brute_shards(list(keys.values()), 5, 8)
+    got = {r["v"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, "k", 5, 8).collect()}
+    assert got == {v: want[x] for v, x in keys.items()}
+
+
 def test_shards_are_balanced_gapless_and_move_little(spark):
     df = spark.range(2003).select(F.col("id").alias("k"), F.lit(1).alias("extra"))
     at = lambda n: {r["k"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, "k", n).collect()}
@@ -312,13 +427,16 @@ def test_shards_are_balanced_gapless_and_move_little(spark):
     assert max(Counter(s for s, _ in eight.values()).values()) == 251 and min(Counter(s for s, _ in eight.values()).values()) == 250
     for s in range(8):
         assert sorted(p for x, p in eight.values() if x == s) == list(range(sum(x == s for x, _ in eight.values())))
-    assert sum(eight[k][0] != nine[k][0] for k in eight) < 0.6 * len(eight)
+    assert sum(eight[k][0] != nine[k][0] for k in eight) < 0.2 * len(eight)
 
 
 def test_shards_of_one_key_and_of_nothing(spark):
     df = spark.createDataFrame([(None, i) for i in range(10)] + [(1, 1), (1, 1)], "k long, v int")
-    assert set(Counter(r["shard"] for r in sharding.shard_rows(df, "k", 4, ties=("v",)).collect()).values()) == {3}
+    assert set(Counter(r["shard"] for r in sharding.shard_rows(df, "k", 4).collect()).values()) == {3}
     assert sharding.shard_rows(df.limit(0), "k", 4).count() == 0
+    for name in ("shard", "Slot", "__key"):
+        with pytest.raises(ValueError):
+            sharding.shard_rows(df.withColumn(name, F.lit(1)), "k")
 
 
 # 9
