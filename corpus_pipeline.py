@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graniteer.llm import minhash, mixing, pieces, suffixes, toxicity
 from graniteer.llm.queries import SHARES
-from graniteer.llm.util import crc_of_id, ranked, staged
+from graniteer.llm.util import crc_of_id, ranked, row_key, staged
 
 ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,8 +38,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     if not more.take(1):
         return docs.select(*COLUMNS, F.col("doc_id").alias("row_id"))
     top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first()["m"]
-    own = ranked(more.withColumn("all", F.lit(0)), ["all"], ["doc_id", "text_key"])
-    own = staged(own.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), (F.col("rank") + top + 1).alias("own")), "own-numbers")
+    own = ranked(more.withColumns({"all": F.lit(0), "__key": row_key(more), "__n": F.lit(1)}), ["all"])
+    own = staged(own.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), (F.col("__start") + top + 1).alias("own")), "own-numbers")
     found = docs.select(*COLUMNS, key).join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
     return found.select(*COLUMNS, F.coalesce("own", "doc_id").alias("row_id"))
 
@@ -63,9 +63,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_slots(docs: DataFrame) -> DataFrame:
-    """Rows with slot and place, in their order; the text's hash as a tie makes both the same at every call."""
-    held = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
-    mixed = mixing.mix(held, SHARES, ties=("doc_id", "n_chars", "text_hash"))
+    """Rows with slot and place, in their order; both follow from the rows alone, so every call gives the same."""
+    mixed = mixing.mix(docs.select(*COLUMNS), SHARES)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS, "slot", "place")
 
 
