@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import map_batches, text_slices
+from .util import map_batches, reject, text_slices
 
 #: Most labelled documents that are fitted, and most lines of them that the driver holds.
 SAMPLE, MAX_LINES = 6_000, 400_000
@@ -190,21 +190,23 @@ def calibrate(raw: np.ndarray, y: np.ndarray, cut: float, balanced: bool = True)
     return slope, float(np.log(cut / (1 - cut)) - slope * edge)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, cut: float = 0.3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, cut: float = 0.3, lines: int = MAX_LINES) -> Model:
     """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits. Without any, scores are 0.5.
 
-    Documents are taken in the order of their id's hash until MAX_LINES lines are met; one of more lines by itself is passed over.
+    Documents are taken in the order of their id's hash until `lines` lines are met; one of more lines by itself is passed over. A
+    document with several labels counts with the largest; one whose id is repeated, with its first text in order. Null labels, ids
+    and texts: the first two take no part, a null text is one empty line.
     """
-    held = labels.where(usable & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    held = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     few = held.orderBy(order, "doc_id").limit(sample)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     counted = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).join(F.broadcast(few), "doc_id")
-    counted = counted.groupBy("doc_id").agg(F.max("n").alias("n")).where(F.col("n") <= MAX_LINES)
+    counted = counted.groupBy("doc_id").agg(F.max("n").alias("n")).where(F.col("n") <= lines)
     upto = F.sum("n").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # `sample` rows at most
-    taken = counted.select("doc_id", upto.alias("upto")).where(F.col("upto") <= MAX_LINES).select("doc_id")
+    taken = counted.select("doc_id", upto.alias("upto")).where(F.col("upto") <= lines).select("doc_id")
     few = few.join(F.broadcast(taken), "doc_id")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -239,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """keep columns and the score (0 to 1) of every row's whole text; null and empty texts are one empty line."""
+    """keep columns and the score (0 to 1) of every row's whole text; null and empty texts are one empty line. keep must not name `out` (ValueError)."""
+    reject(df.select(*keep), out)
     held = df.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([f"`{c}` {t}" for c, t in held.drop("__text").dtypes] + [f"{out} double"])
 

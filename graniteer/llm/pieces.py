@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches, text_slices
+from .util import map_batches, reject, text_slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -196,7 +196,11 @@ class Codec:
 
 
 def encode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",), text: str = "text", check: bool = True) -> DataFrame:
-    """keep columns, token_ids (null for a null text), n_tokens and, with check, round_trip (decoding gives the text back)."""
+    """keep columns, token_ids (null for a null text), n_tokens and, with check, round_trip (decoding gives the text back).
+
+    keep must not name a column that is added (ValueError); repeated rows are encoded alike.
+    """
+    reject(df.select(*keep), "token_ids", "n_tokens", "round_trip")
     held = df.select(*keep, F.col(text).cast("string").alias("__text"))
     extra = ["token_ids array<int>", "n_tokens bigint"] + ["round_trip boolean"] * check
     schema = ", ".join([f"`{c}` {t}" for c, t in held.drop("__text").dtypes] + extra)
@@ -218,7 +222,8 @@ def encode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",)
 
 
 def decode_rows(df: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",), ids: str = "token_ids", out: str = "text") -> DataFrame:
-    """keep columns and the text of every row's ids; null stays null."""
+    """keep columns and the text of every row's ids; null stays null. keep must not name `out` (ValueError)."""
+    reject(df.select(*keep), out)
     held = df.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
     schema = ", ".join([f"`{c}` {t}" for c, t in held.drop("__ids").dtypes] + [f"`{out}` string"])
 

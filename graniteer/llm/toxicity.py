@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon groups and patterns, each of which says toxic or abstains (which counts
-against, by how often toxic texts have it). A generative label model (two classes, each
-voter with its own rates, fitted by expectation-maximisation) estimates their accuracies, the
-given label being one more voter that may err; voters whose votes still correlate given the
-class share one vote's weight. A linear classifier over the lexicon's features is trained on
-the posterior labels, and scores all documents.
-
-The lexicon holds words and word beginnings (also: found twice, three times or more), mined
-from labelled documents: those that are far more frequent in toxic ones. At most `sample` labelled documents (smallest hash first)
-and `lexicon` entries are used; both bound what reaches the driver.
+Voters are lexicon groups (entries with one beginning, found once, twice, or three times and more) and patterns, each of which
+says toxic or abstains. A generative label model estimates from the votes how often each voter speaks on toxic and on clean
+texts and which voters depend on each other: given the class, the voters form a forest in which a voter's rates depend on
+its parent's vote. Expectation-maximisation over labelled and unlabelled documents fits rates and forest in turn; edges are those whose
+conditional mutual information pays for their parameters EDGE times over (Bayesian information criterion; class mixtures look like
+weak dependence), in a maximum spanning forest. Given labels are a prior on the voters' rates (GIVEN rows each), never
+votes: a document's posterior follows from its votes alone. A linear classifier over the lexicon's features is trained on the
+posterior labels, and scores all documents.
+
+Labels choose the lexicon's entries, too (words and word beginnings that are far more frequent in toxic documents, by odds and
+likelihood ratio), and set the cut of the scores. At most `sample` labelled and as many unlabelled documents
+(smallest hash first) and `lexicon` entries are used; these bound what reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches, staged, text_slices
+from .util import map_batches, reject, staged, text_slices
 
-SAMPLE, LEXICON, VOTERS = 12_000, 1_024, 48
+SAMPLE, LEXICON = 12_000, 1_024
+#: A lexicon entry's least log odds and likelihood ratio; weight of a labelled row in the voters' rates; how many times an edge has to pay.
+ODDS, RATIO, GIVEN, EDGE = 3.0, 20.0, 10.0, 10.0
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
-PATTERNS = (re.compile(r"\byou\s+(?:are|re)\b"), re.compile(r"!{3,}"), re.compile(r"\b(?:hate|kill|die)\b"))
-#: Words known as insults before any label is seen: fixed values.
-SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
+#: Address in the second person, shouting marks, marks that stand for letters left out.
+PATTERNS = (re.compile(r"\byou(?:'re|\s+are|\s+re)\b"), re.compile(r"!{3,}"), re.compile(r"[^\W\d_][*#@$%]{2,}"))
 
 
 def parts(w: str) -> tuple[str, ...]:
@@ -80,29 +83,73 @@ def hits(text: str | None, index: dict[str, int], memo: dict[str, tuple[str, ...
     return sorted(found)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of each row, weight of each voter) from a 0/1 matrix of votes, voters in columns.
+@dataclass(frozen=True)
+class LabelModel:
+    """Class balance, each voter's parent (-1: none), log rates by (voter, class, parent's vote, own vote)."""
+
+    prior: float
+    parent: np.ndarray
+    log_rate: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of the toxic class for each row of a 0/1 matrix of votes."""
+        own = votes.astype(np.int64)
+        above = np.where(self.parent >= 0, own[:, self.parent], 0)
+        j = np.arange(votes.shape[1])
+        gain = sum(self.log_rate[j, 1, above, own].T - self.log_rate[j, 0, above, own].T) if len(j) else np.zeros(len(own))
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + gain, -40, 40)))
+
 
-    All vote toxic; the last one is the given label.
+def forest(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Parents of the voters: a maximum spanning forest of the pairs that depend on each other given the class."""
+    n, k = votes.shape
+    gain = np.zeros((k, k))
+    for w in (p, 1 - p):
+        total = w.sum() + 1e-9
+        one = (votes * w[:, None]).sum(0) / total
+        both = (votes * w[:, None]).T @ votes / total
+        for joint, a, b in ((both, one, one), (one[:, None] - both, one, 1 - one), (one[None] - both, 1 - one, one), (1 - one[:, None] - one[None] + both, 1 - one, 1 - one)):
+            joint = np.clip(joint, 1e-12, None)
+            gain += total * joint * np.log(joint / np.clip(a[:, None] * b[None], 1e-12, None))
+    gain -= EDGE * np.log(max(n, 2))  # two more parameters, half a log each, EDGE times over
+    np.fill_diagonal(gain, 0)
+    parent, inside, best, via = np.full(k, -1), np.zeros(k, bool), np.zeros(k), np.full(k, -1)
+    for _ in range(k):
+        at = int(np.where(inside, -1, best).argmax())
+        inside[at], parent[at] = True, via[at]
+        better = ~inside & (gain[at] > best)
+        best[better], via[better] = gain[at][better], at
+    return parent
+
+
+def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 60, every: int = 10) -> tuple[LabelModel, np.ndarray]:
+    """The model fitted to a 0/1 matrix of votes (voters in columns), and the posterior of each row from its votes.
+
+    known: 1 or 0 where a label was given, else -1. Given labels count in the voters' rates, as a prior on their accuracies; they
+    are no votes, and a row's posterior never looks at its own. Start: half of a vote is toxic, within the given labels' balance.
     """
     n, k = votes.shape
-    p = 0.05 + 0.45 * votes[:, -1] + 0.45 * votes[:, :-1].any(1)
-    share = np.ones(k)
+    own, weight = votes.astype(np.int64), np.where(known >= 0, GIVEN, 1.0)
+    p = 1 - 0.5 ** votes.sum(1)
+    p *= min(1.0, (known == 1).sum() / max((known >= 0).sum(), 1) * n / max(p.sum(), 1e-9))
+    parent = np.full(k, -1)
+    model = LabelModel(0.5, parent, np.zeros((k, 2, 2, 2)))
     for r in range(rounds):
-        t, c = p.sum(), (1 - p).sum()
-        on_t, on_c = (votes.T @ p + 0.1) / (t + 0.2), (votes.T @ (1 - p) + 0.1) / (c + 0.2)
-        on_t = np.maximum(on_t, on_c)  # a voter is taken to be no worse than chance
-        gain = votes * np.log(on_t / on_c) + (1 - votes) * np.log((1 - on_t) / (1 - on_c))
-        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain @ share, -40, 40)))
-        if r == rounds // 3:
-            # Correlations that the class does not explain: such voters share a weight.
-            rest = votes - np.outer(p, on_t) - np.outer(1 - p, on_c)
-            cov = rest.T @ rest / n
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            corr = cov / np.outer(sd, sd)
-            corr[-1, :-1] = corr[:-1, -1] = 0  # the label looked at the text itself
-            share = 1 / np.where(corr > 0.2, corr, 0).sum(1).clip(1)
-    return p, share
+        q = np.where(known >= 0, known, p)
+        if r and r % every == 0:
+            parent = forest(votes, q)
+        above = np.where(parent >= 0, own[:, parent], 0)
+        rate = np.zeros((k, 2, 2, 2))
+        for c, w in enumerate(((1 - q) * weight, q * weight)):
+            base = ((own * w[:, None]).sum(0) + 0.1) / (w.sum() + 0.2)
+            for u in (0, 1):
+                here = (above == u) * w[:, None]
+                # A voter's rate under either vote of its parent leans on its rate in the class.
+                rate[:, c, u, 1] = ((here * own).sum(0) + base) / (here.sum(0) + 1)
+        rate[..., 0] = 1 - rate[..., 1]
+        model = LabelModel(float(q.mean().clip(0.001, 0.999)), parent, np.log(np.clip(rate, 1e-9, 1)))
+        p = model.posterior(votes)
+    return model, p
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int = 400, ridge: float = 2e-4) -> np.ndarray:
@@ -122,12 +169,20 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = SAMPLE, lexicon: int = LEXICON, cut: float = 0.7) -> Model:
-    """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits; labels choose the lexicon and the cut."""
+    """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits, and as many of docs without a label.
+
+    A document with several labels counts with the largest; one whose id is repeated, with its first text in order. Null
+    labels and ids take no part. With labels of one class, or none, every text scores alike.
+    """
     from .crf import calibrate
 
-    held = labels.where(usable & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    few = held.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    held = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    order = F.xxhash64(F.col("doc_id"), F.lit(11))
+    few = held.orderBy(order, "doc_id").limit(sample)
+    bare = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").join(held, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample)
+    few = few.union(bare.distinct().select("doc_id", F.lit(-1)))
+    # At most 2 * sample rows of two numbers.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     texts = staged(texts, "toxicity-sample")
 
     def mine(batches):
@@ -137,18 +192,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
                     got = sorted(tokens(t))
                     yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([y] * len(got), pa.int32())], names=["token", "y"])
 
-    total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
+    known = texts.where("y >= 0")
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n_t, n_c = int(total["t"]), int(total["n"]) - int(total["t"])
-    seeds = ["=" + w for w in SEED_WORDS]
-    index, order = {w: 1 + len(PATTERNS) + i for i, w in enumerate(seeds)}, list(seeds)
+    order: list[str] = []
     if n_t and n_c:
-        counts = map_batches(texts, mine, "token string, y int").groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+        counts = map_batches(known, mine, "token string, y int").groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
         odds = F.log((F.col("t") + 0.5) / (n_t + 1.0)) - F.log((F.col("c") + 0.5) / (n_c + 1.0))
-        best = counts.where((F.col("t") >= 4) & (odds > 2.2)).select("token", "t", (F.round(odds * F.sqrt("t"), 6)).alias("s"))
-        for r in best.orderBy(F.desc("s"), "token").limit(lexicon).collect():
-            if r["token"] not in index:
-                index[r["token"]] = 1 + len(PATTERNS) + len(index)
-                order.append(r["token"])
+        term = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
+        both, all_ = F.col("t") + F.col("c"), float(n_t + n_c)
+        ratio = term(F.col("t"), both * n_t / all_) + term(F.col("c"), both * n_c / all_) + term(n_t - F.col("t"), (all_ - both) * n_t / all_) + term(n_c - F.col("c"), (all_ - both) * n_c / all_)
+        best = counts.where((odds > ODDS) & (ratio > RATIO)).select("token", "t", (F.round(odds * F.sqrt("t"), 6)).alias("s"))
+        order = [r["token"] for r in best.orderBy(F.desc("s"), "token").limit(lexicon).collect()]
+    index = {w: 1 + len(PATTERNS) + i for i, w in enumerate(order)}
     n_features = 1 + len(PATTERNS) + len(index)
 
     def features(batches):
@@ -159,31 +215,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
 
     got = sorted((r["y"], list(r["f"])) for r in map_batches(texts, features, "y int, f array<int>").collect())
-    if not got:
-        w = np.zeros(n_features)
-        w[1 + len(PATTERNS) :] = 1.0
-        return Model(index, tuple(w.tolist()), 4.0, -2.0)
+    if not n_t or not n_c:  # nothing tells the classes apart
+        return Model(index, (0.0,) * n_features, 1.0, 0.0 if not got else (-2.0, 2.0)[bool(n_t)])
     y, rows = np.array([r[0] for r in got]), [r[1] for r in got]
-    # Voters: the seeds, the strongest mined entries one by one, the rest in groups by beginning, then patterns.
-    group, voter = {}, {}
-    for i, w in enumerate(order):
-        f = index[w]
-        voter[f] = i if i < VOTERS // 2 else VOTERS // 2 + group.setdefault(w.lstrip("23=")[:4], len(group)) % (VOTERS // 2)
-    votes = np.zeros((len(rows), VOTERS + len(PATTERNS) + 1))
+    # Voters: the patterns, and the entries with one beginning and number.
+    group: dict[str, int] = {}
+    voter = {index[w]: len(PATTERNS) + group.setdefault((w[0] if w[0] in "23" else "") + "=" + w.lstrip("23=")[:4], len(group)) for w in order}
+    votes = np.zeros((len(rows), len(PATTERNS) + len(group)))
     for i, r in enumerate(rows):
         for f in r:
-            votes[i, voter[f] if f in voter else VOTERS + f - 1] = 1
-    votes[:, -1] = y
-    prior = min(max(float(y.mean()), 0.01), 0.5) if n_t else 0.1
-    posterior, _ = label_model(votes, prior)
+            votes[i, voter.get(f, f - 1)] = 1
+    _, posterior = label_model(votes, y)
     w = fit_linear(rows, posterior, n_features)
-    raw = np.array([w[0] + sum(w[i] for i in r) for r in rows])
-    slope, offset = calibrate(raw, y, cut, balanced=False)
+    given = np.flatnonzero(y >= 0)
+    raw = np.array([w[0] + sum(w[f] for f in rows[i]) for i in given])
+    slope, offset = calibrate(raw, y[given], cut, balanced=False)
     return Model(index, tuple(w.tolist()), slope, offset)
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """keep columns and the score (0 to 1) of every row's whole text; null texts count as empty."""
+    """keep columns and the score (0 to 1) of every row's whole text; null texts count as empty. keep must not name `out` (ValueError)."""
+    reject(df.select(*keep), out)
     held = df.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([f"`{c}` {t}" for c, t in held.drop("__text").dtypes] + [f"{out} double"])
 
@@ -198,7 +250,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out:
 
 
 def clean(df: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
-    """The rows whose whole text scores under cut, with all columns."""
+    """The rows whose whole text scores under cut, with all columns; null texts count as empty, repeated rows are judged alike."""
 
     def run(batches):
         memo: dict[str, tuple[str, ...]] = {}

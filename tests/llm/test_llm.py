@@ -213,8 +213,7 @@ def test_classifiers_without_labels_and_with_odd_texts(spark):
         assert module.score(df.limit(0), model).count() == 0
 
 
-def test_lines_are_bounded_in_hash_order(spark, monkeypatch):
-    monkeypatch.setattr(crf, "MAX_LINES", 60)
+def test_lines_are_bounded_in_hash_order(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join(words(rng, 5) + ("!" * 9 if i % 2 else "") for _ in range(rng.choice((1, 3, 12)))), i % 2) for i in range(60)]
     rows.append((60, "\n" * 100, 0))
@@ -226,7 +225,7 @@ def test_lines_are_bounded_in_hash_order(spark, monkeypatch):
         if total > 60:
             break
         first.append(i)
-    fit = lambda d, only=F.lit(True): crf.fit(d, df.select("doc_id", "quality"), only)
+    fit = lambda d, only=F.lit(True): crf.fit(d, df.select("doc_id", "quality"), only, lines=60)
     want = fit(df, F.col("doc_id").isin(first))
     assert fit(df.coalesce(1)) == want == fit(df.repartition(6, F.col("text")))
 
@@ -453,6 +452,50 @@ def test_language_edges(spark):
     assert langid.identify(df, langid.fit(df.limit(0), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_decide_what_is_undetermined(spark):
+    df = docs(spark, ["½ ²", "Ⅷ ①", "x²", "٣٤", "日本", "a", "①b"])
+    model = langid.fit(docs(spark, ["a b c"] * 3), F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert got == {0: "und", 1: "und", 2: "en", 3: "und", 4: "en", 5: "en", 6: "en"}
+    with pytest.raises(ValueError):
+        langid.identify(df.withColumn("score", F.lit(1)), model, keep=("doc_id", "score"))
+
+
+def test_word_backoff_equals_brute_force(spark):
+    rng = random.Random(13)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 7)))
+    known = {"xx": [word("abcd") for _ in range(40)], "yy": [word("cdef") for _ in range(40)]}
+    rows = [(i, " ".join(rng.choice(known[k]) for _ in range(20)), k, "s", 0) for i, k in enumerate(["xx", "yy"] * 30)]
+    model = langid.fit(spark.createDataFrame(rows, DOC).repartition(3), F.lit(True))
+    count, gram = Counter(), Counter()
+    for _, t, k, _, _ in rows:
+        for w in t.split():
+            count[k, w] += 1
+            for n in range(1, 6):
+                p = f"^{w}$"
+                gram.update((k, p[i : i + n]) for i in range(len(p) - n + 1))
+
+    def logs(table, unit):
+        units = {u for _, u in table}
+        return np.array([np.log((table[k, unit] + 0.5) / (sum(c for (x, _), c in table.items() if x == k) + 0.5 * (len(units) + 1))) for k in ("xx", "yy")])
+
+    def score(w):
+        if any((k, w) in count for k in ("xx", "yy")):
+            return logs(count, w)
+        p = f"^{w}$"
+        for n in range(min(5, len(p)), 0, -1):
+            seen = [logs(gram, p[i : i + n]) for i in range(len(p) - n + 1) if any((k, p[i : i + n]) in gram for k in ("xx", "yy"))]
+            if seen:
+                return np.mean(seen, 0) * 0.9 ** (5 - n)
+
+    texts = [" ".join(rng.choice([word("abcdef"), rng.choice(known["xx"]), rng.choice(known["yy"])]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        mean = np.mean([score(w) for w in t.split()], 0)
+        e = np.exp((mean - mean.max()) * min(len(t.split()), 20))
+        assert got[i][0] == ("xx", "yy")[int(mean.argmax())] and abs(got[i][1] - e.max() / e.sum()) < 1e-9
+
+
 # 10
 @have_data
 def test_toxicity_of_held_out_rows(spark):
@@ -461,14 +504,58 @@ def test_toxicity_of_held_out_rows(spark):
     assert got.select(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.9
 
 
-def test_label_model_finds_good_and_bad_voters():
+def test_label_model_finds_good_bad_and_dependent_voters():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.2
-    hit = lambda a, b: np.where(y, rng.random(4000) < a, rng.random(4000) < b)
+    n = 6000
+    y = rng.random(n) < 0.2
+    hit = lambda a, b: np.where(y, rng.random(n) < a, rng.random(n) < b)
     one = hit(0.7, 0.02)
-    votes = np.stack([one, one, hit(0.6, 0.05), hit(0.5, 0.05), hit(0.3, 0.3), hit(0.9, 0.1)], 1).astype(float)
-    p, share = toxicity.label_model(votes, 0.2)
-    assert ((p > 0.5) == y).mean() > 0.93 and share[0] < 0.7 and share[2] > 0.7
+    votes = np.stack([one, one & (rng.random(n) < 0.95), hit(0.6, 0.05), hit(0.5, 0.05), hit(0.3, 0.3), hit(0.8, 0.1)], 1).astype(float)
+    known = np.where(rng.random(n) < 0.2, y, -1)
+    model, p = toxicity.label_model(votes, known)
+    assert ((p > 0.5) == y).mean() > 0.93 and {int(model.parent[0]), int(model.parent[1])} & {0, 1}
+    rates = np.exp(model.log_rate[2:, :, 0, 1])
+    assert abs(rates[0] - [0.05, 0.6]).max() < 0.08 and abs(rates[2] - [0.3, 0.3]).max() < 0.08
+    # No row's posterior looks at its own label.
+    for v in {tuple(r) for r in votes[:50]}:
+        assert len({round(x, 9) for x in p[(votes == v).all(1)]}) == 1
+
+
+def test_label_model_posterior_equals_brute_force():
+    rng = np.random.default_rng(2)
+    parent, rate = np.array([-1, 0, 0, 2]), rng.uniform(0.1, 0.9, (4, 2, 2, 2))
+    rate[..., 0] = 1 - rate[..., 1]
+    votes = (rng.random((30, 4)) < 0.5).astype(float)
+    got = toxicity.LabelModel(0.3, parent, np.log(rate)).posterior(votes)
+    for v, g in zip(votes.astype(int), got):
+        joint = [w * np.prod([rate[j, c, v[parent[j]] if parent[j] >= 0 else 0, v[j]] for j in range(4)]) for c, w in ((0, 0.7), (1, 0.3))]
+        assert abs(g - joint[1] / sum(joint)) < 1e-9
+
+
+def test_dependence_forest_is_the_best_one():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    p = (rng.random(n) < 0.5).astype(float)
+    a, b = rng.random(n) < 0.4, rng.random(n) < 0.4
+    votes = np.stack([a, a ^ (rng.random(n) < 0.05), b, b ^ (rng.random(n) < 0.1), rng.random(n) < 0.5], 1).astype(float)
+    parent = toxicity.forest(votes, p)
+    assert {frozenset((i, int(j))) for i, j in enumerate(parent) if j >= 0} == {frozenset((0, 1)), frozenset((2, 3))}
+    assert all(parent[i] != j or parent[j] != i for i, j in itertools.permutations(range(5), 2))
+
+
+def test_toxicity_does_not_depend_on_layout_and_repeated_labels(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30) + (" vile" * (i % 4) if i % 5 == 0 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    one = toxicity.fit(df, marks, F.lit(True))
+    again = marks.unionByName(marks.where("toxic = 0").withColumn("toxic", F.lit(None).cast("int"))).unionByName(marks).unionByName(spark.createDataFrame([(None, 1)], marks.schema))
+    assert toxicity.fit(df.repartition(7), again, F.lit(True)) == one and "=vile" in one.index
+    assert toxicity.clean(df, one).count() == toxicity.score(df, one).where("score < 0.7").count()
+    with pytest.raises(ValueError):
+        toxicity.score(df.withColumn("score", F.lit(1)), one, keep=("doc_id", "score"))
 
 
 # pipeline
