@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-A document is the set of its distinct word shingles. Documents of equal sets are one class,
+A document is the set of its distinct word shingles. Documents of equal sets (by SHA-256 of the whole sorted set) are one class,
 represented by its smallest id; only representatives are compared. Their MinHash signatures are
 cut into bands; two representatives that agree in a band are candidates. Candidates are compared
 in batches of signature rows: as soon as the posterior probability (uniform prior) that the
@@ -11,8 +11,9 @@ Within a band's bucket no list of all pairs is made. First every member is compa
 the bucket's smallest member, which joins most of a group of copies in one component. A bucket that still
 holds several components belongs to the arena of its largest one, where each member of
 another component (a stray) is compared with all of the arena on full sets: an arena and its
-strays are dealt in blocks of bounded size, every block of strays meets every block of the arena and
-is matched there by an inverted index, and only links come out. So no link between components is lost to the shortcut.
+strays are dealt in blocks of bounded size, and every block of strays meets every block of the arena. There, too, signatures are
+compared in batches and pruned by the posterior, survivors are verified on full sets, most alike first, and a stray is
+done with a component at its first link; only these links come out. So no link between components is lost to the shortcut.
 
 With BANDS bands of ROWS rows, a pair at similarity 0.8 shares no band with probability
 (1 - 0.8**6)**50 < 3e-7.
@@ -20,6 +21,7 @@ With BANDS bands of ROWS rows, a pair at similarity 0.8 shares no band with prob
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -56,13 +58,13 @@ def shingle_set(text: str | None, width: int) -> set[bytes]:
 _WORDS: dict[bytes, int] = {}
 
 
-def shingle_hashes(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each distinct shingle (sorted by the first)."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """A 64-bit hash of each distinct shingle, sorted."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     if len(_WORDS) > 400_000:
         _WORDS.clear()
     ids = []
@@ -75,12 +77,9 @@ def shingle_hashes(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray
     width = min(width, len(h))
     n = len(h) - width + 1
     a = np.full(n, width, np.uint64)
-    b = np.full(n, 977 + width, np.uint64)
     for i in range(width):
         a = _mix(a * _M + h[i : n + i])
-        b = _mix((b ^ h[i : n + i]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1))
-    a, at = np.unique(a, return_index=True)
-    return a, b[at]
+    return np.unique(a)
 
 
 def signature(a: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -120,7 +119,7 @@ def limits(rows: int, percent: int = PERCENT, miss: float = MISS, batch: int = B
 
 
 def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, set_key (128 bits of the whole set; null for an empty one), sig (16 bits of each row), bands (64-bit keys)."""
+    """id, n_shingles, set_key (SHA-256 of the whole set; null for an empty one), sig (16 bits of each row), bands (64-bit keys)."""
     held = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
 
     def run(batches):
@@ -130,16 +129,15 @@ def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "tex
             for part in text_slices(batch, "__text"):
                 n, keys, sigs, bands = [], [], [], []
                 for t in part.column("__text").to_pylist():
-                    a, b = shingle_hashes(t, width)
-                    n.append(len(a))
-                    if not len(a):
+                    whole = shingle_set(t, width)
+                    n.append(len(whole))
+                    if not whole:
                         keys.append(None)
                         sigs.append(None)
                         bands.append(None)
                         continue
-                    order = np.stack([a, b])
-                    keys.append(np.array([_mix(order[0] + _M).sum(), _mix(order[1]).sum()], np.uint64).tobytes() + len(a).to_bytes(4, "big"))
-                    s = signature(a, own)
+                    keys.append(hashlib.sha256(b"\n".join(sorted(whole))).digest())
+                    s = signature(shingle_hashes(t, width), own)
                     sigs.append(s.astype(np.uint16).tobytes())  # enough to compare; bands are of all 32 bits
                     key = number.copy()
                     for c in s.reshape(BANDS, ROWS).T:
@@ -153,6 +151,11 @@ def profiles(df: DataFrame, width: int, id_col: str = "doc_id", text: str = "tex
     return map_batches(held, run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
+def cuts_of(percent: int) -> list[tuple[int, int]]:
+    """Signature rows compared after each batch, and the least agreement to go on with."""
+    return list(zip([*range(BATCH, BANDS * ROWS, BATCH), BANDS * ROWS], limits(BANDS * ROWS, percent), strict=True))
+
+
 def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: pruned on signatures, then checked on full sets.
 
@@ -160,7 +163,7 @@ def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, perc
     """
     of = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    cuts = list(zip(list(range(BATCH, BANDS * ROWS, BATCH)) + [BANDS * ROWS], limits(BANDS * ROWS, percent), strict=True))
+    cuts = cuts_of(percent)
 
     def prune(batches):
         for batch in batches:
@@ -195,23 +198,24 @@ def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, perc
     return staged(map_batches(whole, exact, "a long, b long"), "verified")
 
 
-def dealt(mixed: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(arena, block, ask_block, id, c, text, asks): each block of an arena with each block of its strays."""
+def dealt(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(arena, block, ask_block, id, c, sig, text, asks): each block of an arena with each block of its strays. reps: (id, n, sig)."""
     heads = mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.min(F.struct(-F.col("m"), "c"))["c"].alias("arena"))
-    placed = mixed.join(heads, "key").select("arena", "id", "c").distinct()
-    placed = staged(placed.join(sizes, "id"), "arenas")
+    placed = mixed.join(staged(heads, "heads"), "key").select("arena", "id", "c").distinct()
+    placed = staged(placed.join(reps, "id"), "arenas")
     bounded = lambda n: F.greatest(F.ceil(F.coalesce(F.sum(n), F.lit(0)) / ARENA_SHINGLES), F.lit(1)).cast("int")
     blocks = placed.groupBy("arena").agg(bounded(F.col("n")).alias("blocks"), bounded(F.when(F.col("c") != F.col("arena"), F.col("n"))).alias("ask_blocks"))
-    held = placed.join(blocks, "arena").join(texts, "id")
+    held = placed.join(staged(blocks, "blocks"), "arena").join(texts, "id")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     own = lambda n, name: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(name)
-    targets = held.select("arena", own("blocks", "block"), every("ask_blocks", "ask_block"), "id", "c", "text", F.lit(False).alias("asks"))
-    strays = held.where("c <> arena").select("arena", every("blocks", "block"), own("ask_blocks", "ask_block"), "id", "c", "text", F.lit(True).alias("asks"))
+    targets = held.select("arena", own("blocks", "block"), every("ask_blocks", "ask_block"), "id", "c", "sig", "text", F.lit(False).alias("asks"))
+    strays = held.where("c <> arena").select("arena", every("blocks", "block"), own("ask_blocks", "ask_block"), "id", "c", "sig", "text", F.lit(True).alias("asks"))
     return targets.union(strays)
 
 
-def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components. mixed: (key, id, c) of buckets with several components; sizes: (id, n)."""
+def arena_links(mixed: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, one at least of each two that have any. mixed: (key, id, c) of buckets with several components; reps: (id, n, sig)."""
+    cuts = cuts_of(percent)
 
     def match(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -219,34 +223,40 @@ def arena_links(mixed: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
         mine, others = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
         if len(mine) and len(others):
             ids, comps = mine.column("id").to_numpy(), mine.column("c").to_numpy()
-            sets = [shingle_hashes(t.as_py(), width)[0] for t in mine.column("text")]
-            size = np.array([len(x) for x in sets])
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
+            rows = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(t), -1)
+            x, y = rows(mine), rows(others)
+            sets: dict[int, set[bytes]] = {}
             for i in range(len(others)):
-                doc, comp, text = others.column("id")[i].as_py(), others.column("c")[i].as_py(), others.column("text")[i].as_py()
-                x = shingle_hashes(text, width)[0]
-                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                n = high - low
-                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                inner = np.bincount(owner[at], minlength=len(sets))
-                for j in np.flatnonzero((inner > 0) & (100 * inner >= percent * (size + len(x) - inner)) & (comps != comp)).tolist():
-                    full, other = shingle_set(text, width), shingle_set(mine.column("text")[j].as_py(), width)
-                    both = len(full & other)
-                    if 100 * both >= percent * (len(full) + len(other) - both):
+                doc, comp = others.column("id")[i].as_py(), others.column("c")[i].as_py()
+                alive, done = np.flatnonzero(comps != comp), 0
+                agree = np.zeros(len(ids), np.int64)
+                for n, least in cuts:
+                    agree[alive] += (x[alive, done:n] == y[i, done:n]).sum(1)
+                    alive, done = alive[agree[alive] >= least], n
+                if not len(alive):
+                    continue
+                own, linked = shingle_set(others.column("text")[i].as_py(), width), set()
+                for j in alive[np.lexsort((ids[alive], -agree[alive]))].tolist():
+                    if comps[j] in linked:
+                        continue
+                    if j not in sets:
+                        sets[j] = shingle_set(mine.column("text")[j].as_py(), width)
+                    both = len(own & sets[j])
+                    if 100 * both >= percent * (len(own) + len(sets[j]) - both):
+                        linked.add(comps[j])
                         out[0].append(max(doc, int(ids[j])))
                         out[1].append(min(doc, int(ids[j])))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    return staged(map_groups(dealt(mixed, sizes, texts), ["arena", "block", "ask_block"], match, "a long, b long"), "arena-links")
+    return staged(map_groups(dealt(mixed, reps, texts), ["arena", "block", "ask_block"], match, "a long, b long"), "arena-links")
 
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable) for every row with an id.
 
     Null and empty texts have no shingles and no links; rows that repeat an id are given the same
-    component, and must repeat its text; rows with a null id come back with a null component.
+    component, and must repeat its text; rows with a null id come back with a null component. Other columns of df are not
+    read, so their names do not matter; an empty table gives an empty result.
     """
     prof = staged(profiles(df, width, id_col, text), "minhash")
     full = prof.where("set_key is not null and id is not null")
@@ -257,6 +267,7 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    hubs = staged(hubs, "hubs")  # so that both sides of the join are plain shuffles, whose skewed parts are split
     shared = staged(keyed.join(hubs, "key"), "shared-bands")
     candidates = shared.select("id").distinct()
     texts = staged(docs.join(candidates, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
@@ -265,9 +276,10 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     comp = components(links)
     # Members of one bucket that are in different components still have to be compared.
     named = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    named = staged(named, "named")
+    several = staged(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "several")
     mixed = staged(named.join(several, "key"), "mixed")
-    more = arena_links(mixed, reps.select("id", F.col("n_shingles").alias("n")), texts, width, percent)
+    more = arena_links(mixed, reps.select("id", F.col("n_shingles").alias("n"), "sig"), texts, width, percent)
     if more.take(1):
         comp = staged(components(links.union(more)), "components")
     rep_comp = comp.select(F.col("id").alias("rep"), "component")

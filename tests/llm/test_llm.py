@@ -363,7 +363,8 @@ def test_strays_are_dealt_in_bounded_blocks(spark, monkeypatch):
         texts.append(" ".join(w))
     sets = [minhash.shingle_set(t, 2) for t in texts]
     mixed = spark.createDataFrame([(1, i, 0 if i % 3 == 0 else i) for i in range(len(texts))], "key long, id long, c long")
-    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "id long, n long")
+    sig = [bytes(r["sig"]) for r in minhash.profiles(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).orderBy("id").collect()]
+    sizes = spark.createDataFrame([(i, len(x), g) for i, (x, g) in enumerate(zip(sets, sig))], "id long, n long, sig binary")
     held = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     largest = Counter()
     for r in minhash.dealt(mixed, sizes, held).collect():
@@ -372,7 +373,10 @@ def test_strays_are_dealt_in_bounded_blocks(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in minhash.arena_links(mixed, sizes, held, 2, 80).collect()}
     comp = [0 if i % 3 == 0 else i for i in range(len(texts))]
     want = {(i, j) for i in range(len(texts)) for j in range(i) if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert got == want and want
+    of = lambda links: {(i, comp[j]) for i, j in links} | {(j, comp[i]) for i, j in links}
+    assert got <= want and want and len(got) < len(want)
+    asked = lambda links: {(i, c) for i, c in of(links) if comp[i] != 0}
+    assert asked(got) == asked(want)
 
 
 def test_components_of_a_path_and_a_star(spark):
