@@ -6,8 +6,10 @@ neighbourhood; it places every vector of the table in its most probable partitio
 probable ones, where all vectors are reranked by exact cosine. The number of
 partitions probed is the least that finds RECALL of the sample's neighbours.
 
-Large partitions are cut into blocks by a hash (queries go to all blocks of a partition), so that
-many copies of one vector do not meet in one task.
+Large partitions are cut into blocks of candidates and blocks of the queries sent there, both of bounded size, and every block of
+queries meets every block of candidates, so that many copies of one vector, or many queries for one partition, do not meet in one task.
+Vectors are scaled by powers of two before anything is squared, so no norm over- or underflows and scores are those of the originals.
+Vectors of another length than the sample's usual one are compared among themselves, whole.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import map_batches, map_groups
+from .util import map_batches, map_groups, staged
 
-#: Vectors fitted (bound on what reaches the driver), graph degree, vectors a partition should hold, rows of a block.
-SAMPLE, DEGREE, PART_ROWS, BLOCK_ROWS, RECALL = 4_096, 10, 1_500, 8_000, 0.96
-MAX_PARTS = 64
+#: Least and most vectors fitted (the sample grows with the partitions wanted; the most bounds what reaches the driver), graph degree,
+#: vectors a partition should hold, candidates and queries of a block, share of the sample's neighbours to be found, sample rows a partition needs.
+SAMPLE, MOST, DEGREE, PART_ROWS, BLOCK_ROWS, QUERY_ROWS, RECALL, PER_PART = 4_096, 65_536, 10, 1_500, 4_000, 2_000, 0.96, 32
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,7 @@ class Router:
     probes: int
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        """x: rows as `scaled` gives them."""
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         return x @ self.w + self.b
 
@@ -99,17 +102,23 @@ def valid(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("v", v).where(v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> Router | None:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two that brings their largest component under 1: exact, and squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if x.size else x
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Router | None:
     """vectors: (id, v). None for an empty table."""
     total = vectors.count()
     if not total:
         return None
-    rows = vectors.select("id", "v").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample).collect()
-    dim = np.bincount([len(r["v"]) for r in rows]).argmax()
-    x = np.array([r["v"] for r in rows if len(r["v"]) == dim], np.float64)
+    few = min(max(sample, PER_PART * 2 * total // PART_ROWS), most)
+    rows = vectors.select("id", "v").orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(few).collect()
+    dim = int(np.bincount([len(r["v"]) for r in rows]).argmax())
+    x = scaled(np.array([r["v"] for r in rows if len(r["v"]) == dim], np.float64))
     x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
     parts = 2
-    while parts * PART_ROWS < total and parts < MAX_PARTS and parts * 32 <= len(x):
+    while parts * PART_ROWS < total and parts * 2 * PER_PART <= len(x):
         parts *= 2
     if len(x) < 4 * parts:
         return Router(np.zeros((dim, 1)), np.zeros(1), 1)
@@ -132,39 +141,55 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
     """vectors, queries: (id, v). Returns query_id, rank from 1, vec_id, score: the k nearest found, a query's own id left out."""
     dim = router.w.shape[0]
 
+    def matrix(column) -> np.ndarray:
+        return scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+    def of_length(batch, fn):
+        """fn on the usual length's rows, and -length as the partition of the others."""
+        size = batch.column("size").to_numpy()
+        usual = batch.filter(pa.array(size == dim))
+        if usual.num_rows:
+            yield from fn(usual)
+        other = batch.filter(pa.array(size != dim))
+        if other.num_rows:
+            yield pa.RecordBatch.from_arrays([other.column("id"), other.column("v"), pa.array(-other.column("size").to_numpy(), pa.int32())], names=["id", "v", "part"])
+
     def place(batches):
+        one = lambda b: [pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(router.logits(matrix(b.column("v"))).argmax(1), pa.int32())], names=["id", "v", "part"])]
         for batch in batches:
-            v = batch.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), v, pa.array(router.logits(x).argmax(1), pa.int32())], names=["id", "v", "part"])
+            yield from of_length(batch, one)
 
-    same = F.size("v") == dim
-    index = map_batches(vectors.select("id", "v").where(same), place, "id long, v array<double>, part int")
-    sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number for each partition
-    size = np.array([sizes.get(p, 0) for p in range(router.parts)])
-    blocks = np.maximum(1, -(-size // BLOCK_ROWS))
+    sized = lambda df: df.select("id", "v", F.size("v").alias("size"))
+    index = staged(map_batches(sized(vectors), place, "id long, v array<double>, part int"), "index")
+    held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition and odd length
+    size = np.array([held.get(p, 0) for p in range(router.parts)])
 
     def route(batches):
-        for batch in batches:
-            v = batch.column("v")
-            z = router.logits(v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            order = np.argsort(-z, axis=1)
+        def one(batch):
+            order = np.argsort(-router.logits(matrix(batch.column("v"))), axis=1)
             need = np.maximum(router.probes, 1 + (np.cumsum(size[order], axis=1) <= k).sum(1))
-            at = [[(p, b) for p in o[:n].tolist() for b in range(blocks[p]) if size[p]] for o, n in zip(order, need, strict=True)]
+            at = [[p for p in o[:n].tolist() if size[p]] for o, n in zip(order, need, strict=True)]
             row = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
-            flat = [x for r in at for x in r]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), v.take(row), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], names=["id", "v", "part", "block"]
-            )
+            return [pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("v").take(row), pa.array([x for r in at for x in r], pa.int32())], names=["id", "v", "part"])]
 
-    counts = F.array(*[F.lit(int(b)) for b in blocks])
-    held = index.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(counts, F.col("part") + 1)).cast("int")).withColumn("asks", F.lit(False))
-    asked = map_batches(queries.select("id", "v").where(same), route, "id long, v array<double>, part int, block int").withColumn("asks", F.lit(True))
+        for batch in batches:
+            yield from of_length(batch, one)
+
+    asked = staged(map_batches(sized(queries), route, "id long, v array<double>, part int"), "routed")
+    asks = asked.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    blocks = index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asks, "part", "left")
+    ceil = lambda c, n: F.greatest(F.ceil(F.coalesce(F.col(c), F.lit(0)) / n), F.lit(1)).cast("int")
+    # One row for each partition (2 * MOST / PER_PART of them at most) and odd length.
+    blocks = staged(blocks.select("part", ceil("n", BLOCK_ROWS).alias("blocks"), ceil("m", QUERY_ROWS).alias("ask_blocks"), F.col("m").isNotNull().alias("wanted")), "ann-blocks")
+    every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
+    own = lambda c, name: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int").alias(name)
+    mine = index.join(blocks.where("wanted"), "part").select("id", "v", "part", own("blocks", "block"), every("ask_blocks", "ask_block"), F.lit(False).alias("asks"))
+    others = asked.join(blocks, "part").select("id", "v", "part", every("blocks", "block"), own("ask_blocks", "ask_block"), F.lit(True).alias("asks"))
 
     def rerank(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = matrix(table.column("v").combine_chunks())
         q_at, c_at = np.flatnonzero(asks), np.flatnonzero(~asks)
         c, c_ids = x[c_at], ids[c_at]
         norm = np.sqrt(np.add.reduce(c * c, axis=1))
@@ -185,8 +210,7 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
                 out[2].extend(score[top].tolist())
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    both = held.select("id", "v", "part", "block", "asks").union(asked.select("id", "v", "part", "block", "asks"))
-    found = map_groups(both, ["part", "block"], rerank, "query_id long, vec_id long, score double")
+    found = map_groups(mine.union(others), ["part", "block", "ask_block"], rerank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -194,11 +218,13 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5) -
 def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The k nearest of each row whose id is divisible by `every`, among all other rows.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part; nor do those whose length is not
-    the usual one. Equal scores go to the smaller id. An empty table gives an empty result.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors are
+    compared with those of their own length. A query whose id is repeated asks with its least vector, and all rows of that id are
+    its own; other repeated rows are candidates each. Equal scores go to the smaller id. An empty table gives an empty result;
+    other columns are not read.
     """
     held = valid(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec)).where("id is not null"), vec).select("id", "v")
     router = fit(held)
     if router is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(held, held.where(F.col("id") % every == 0), router, k)
+    return search(held, held.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), router, k)

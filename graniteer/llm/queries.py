@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.op1(), "op2_mixing": sql.op2(SHARES), "op8_sharding": sql.op8()}
+    return {"op1_quality_rules": sql.op1(), "op2_mixing": sql.op2(SHARES), "op4_suffix_dedup": sql.op4(), "op7_minhash": sql.op7(), "op8_sharding": sql.op8()}

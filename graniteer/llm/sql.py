@@ -99,3 +99,31 @@ walk(e, room, used, queued, placed, pt, len, shard, base) as (
   from (select walk.*, spare, owners[(e % {n}) + 1] + 1 as o from walk, lists where e < {2 * n}))
 select doc_id, size, text_crc32, 'rows' as law, coalesce(w.shard, o.shard)::int as shard, (case when r.rank < o.taken then o.base + r.rank else w.base + o.over + r.rank - o.taken - w.pt end)::bigint as slot, null::int as grown_shard
 from r join o on o.arc = r.arc left join (select * from walk where len > 0) w on r.rank >= o.taken and o.over + r.rank - o.taken >= w.pt and o.over + r.rank - o.taken < w.pt + w.len"""
+
+
+def op4(width: int = 50) -> str:
+    """All windows of all texts, grouped."""
+    return f"""with d as (select doc_id, encode(coalesce(text, '')) as x from documents),
+n as (select *, octet_length(x) as n from d),
+w as (select doc_id, i, x[i + 1 : i + {width}] as w from (select doc_id, x, unnest(range(0, n - {width - 1})) as i from n where n >= {width})),
+g as (select w, min(doc_id) as first from w group by w having min(doc_id) < max(doc_id)),
+gone as (select doc_id, i from w join g using (w) where doc_id > first),
+runs as (select *, sum(case when i > before + {width} then 1 else 0 end) over (partition by doc_id order by i) as run from (select *, lag(i) over (partition by doc_id order by i) as before from gone)),
+spans as (select doc_id, min(i) as lo, max(i) + {width} as hi from runs group by doc_id, run),
+listed as (select doc_id, list(lo order by lo) as lo, list(hi order by lo) as hi from spans group by doc_id)
+select n.doc_id, n::bigint as n_bytes, coalesce(list_sum(hi) - list_sum(lo), 0)::bigint as n_removed, coalesce(len(lo), 0)::bigint as n_spans,
+  sha256(case when lo is null then x else unhex(list_aggregate(list_transform(list_zip(list_concat([0::bigint], hi), list_concat(lo, [n])), lambda p: hex(x[p[1] + 1 : p[2]])), 'string_agg', '')) end) as kept_sha256
+from n left join listed using (doc_id)"""
+
+
+def op7(percent: int = 80) -> str:
+    """All pairs that share a shingle of two words, and what is reachable by links."""
+    return rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w),
+s as (select doc_id, len(s) as n, unnest(s) as s from l),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as m, any_value(b.n) as n, count(*) as common from s a join s b on a.s = b.s and a.doc_id < b.doc_id and 100 * a.n >= {percent} * b.n and 100 * b.n >= {percent} * a.n group by a.doc_id, b.doc_id),
+e as (select a, b from p where 100 * common >= {percent} * (m + n - common)),
+both_ways as (select a, b from e union all select b, a from e),
+reach(a, b) as (select a, b from both_ways union select reach.a, x.b from reach join both_ways x on x.a = reach.b)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(c, doc_id)) as component_id, doc_id <= coalesce(c, doc_id) as kept
+from l left join (select a, min(b) as c from reach group by a) r on r.a = doc_id"""

@@ -288,6 +288,38 @@ def test_neighbours_have_recall_and_exact_scores(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id in (0, 3, 1501)")).count() == 1
 
 
+def test_neighbours_of_odd_lengths_and_extreme_norms(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8) * 10.0 ** (250 if i % 3 == 0 else -200 if i % 3 == 1 else 0)) for i in range(200)]
+    rows += [(1000 + i, rng.standard_normal(5)) for i in range(60)] + [(5000, np.ones(3))]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows] + [(7, [1e300] * 8)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == {0, 50, 100, 150, 1000, 1050}
+    rows.append((7, np.ones(8)))
+    for q, near in got.items():
+        v = dict(rows)[q]
+        unit = lambda x: x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max())
+        want = sorted(((float(unit(x) @ unit(v)), i) for i, x in rows if len(x) == len(v) and i != q), key=lambda z: (-z[0], z[1]))[:5]
+        assert [near[k + 1][0] for k in range(5)] == [i for _, i in want] and all(abs(near[k + 1][1] - s) < 1e-12 for k, (s, _) in enumerate(want))
+
+
+def test_queries_and_candidates_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
+    x = np.random.default_rng(7).standard_normal((600, 4))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = ann.valid(df.withColumnRenamed("vec_id", "id"), "embedding").select("id", "v")
+    whole = ann.Router(np.zeros((4, 1)), np.zeros(1), 1)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(vectors, vectors.where("id % 20 = 0"), whole).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 600, 20):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert [got[q, k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
 # 6
 @have_pieces
 def test_pieces_round_trip_and_best_score(spark):
