@@ -10,36 +10,45 @@ with the same LEAD leading bytes, and nothing is lost.
 
 1. Texts that are equal as a whole are settled by a hash of the text: all but the
    smallest id go entirely.
-2. Anchors' hashes are sent to buckets of hashes, packed (7 to 10 bytes each), to learn which occur in two
+2. Anchors' hashes are sent to buckets of hashes, packed (5 bytes each and the documents), to learn which occur in two
    documents. A hash that two documents of one slice share is sent once, which keeps
    hot passages small. Hash collisions only add candidates.
 3. Suffixes at the remaining anchors, with the bytes of their windows, are range-partitioned by
-   their leading bytes with splitters from a sample; of equal ones in a slice all but the first
-   are settled at once, the first is sent. Splitters are whole leading strings: suffixes with the same
-   lead never fall on both sides of a boundary, and nothing is left to compare across it.
-4. Each bucket sorts its windows by multikey quicksort (8 bytes at a time, refining only
-   runs that are still equal) and takes the smallest id of every run.
+   their first WIDTH bytes with splitters from a sample; of equal ones in a slice all but the first
+   are settled at once, the first is sent; a document's own repeats are one row. A splitter may cut suffixes with one lead
+   apart, and a suffix that fills several buckets of the sample is dealt to as many parts by id, so no lead and no suffix has to
+   fit one task.
+4. Each bucket sorts its windows by three-way multikey quicksort (8 bytes at a time) and takes the smallest id of every run.
+5. Windows whose forward part (from the anchor on) is a prefix of one of the bucket's own splitters may have equals in
+   other buckets. Of each such run the smallest id's windows are compared across the boundaries: one more exchange, by the
+   window, in which a bucket has one document for each run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import map_batches, map_groups, staged, text_slices
+from .util import map_batches, map_groups, reject, staged, text_slices
 
 WIDTH, LEAD = 50, 20
 SPAN = WIDTH - LEAD + 1
 _B = 0x9E3779B97F4A7C15
-#: Windows hashed at a time, and bytes of text in a slice; both bound a worker's memory.
-_CHUNK, SLICE = 1 << 19, 1 << 20
-#: Text bytes for each hash bucket and each suffix bucket; leads sampled for the splitters.
-BUCKET_BYTES, SUFFIX_BYTES, SAMPLE = 10 << 20, 5 << 20, 40_000
+#: Windows hashed at a time, bytes of text in a slice, runs folded at a time; all bound a worker's memory.
+_CHUNK, SLICE, _RUNS = 1 << 19, 1 << 20, 1 << 17
+#: Text bytes for each hash bucket and each suffix bucket. Splitters sampled for each bucket, documents sampled at least, and the most
+#: buckets by range; with more text, each of these is cut further by a hash of the lead.
+BUCKET_BYTES, SUFFIX_BYTES, PER_BUCKET, LEAST_DOCS, MOST_RANGES = 10 << 20, 5 << 20, 16, 1_000, 1 << 16
+#: Anchors are about so many bytes apart.
+SPACING = 16
+LOW = np.uint64((1 << 40) - 1)
 
 
 def _lead_hashes(buf: np.ndarray) -> np.ndarray:
@@ -99,133 +108,172 @@ def anchor_runs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     return d[head], a[head], key ^ (key >> np.uint64(30)), starts[head], starts[tail]
 
 
-def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by their columns, and whether each sorted row opens a new run of equal ones."""
-    order = np.argsort(columns[0], kind="stable")
-    opens = np.r_[True, np.diff(columns[0][order].view(np.int64)) != 0] if len(order) else np.zeros(0, bool)
-    for c in columns[1:]:
-        run = np.cumsum(opens) - 1
-        live = np.flatnonzero(np.bincount(run, minlength=1)[run] > 1) if len(run) else run
-        if not len(live):
-            break
-        inner = np.lexsort((c[order[live]], run[live]))
-        order[live] = order[live[inner]]
-        v, r = c[order[live]], run[live]
-        opens[live] |= np.r_[True, (v[1:] != v[:-1]) | (r[1:] != r[:-1])]
+def multikey_order(columns: list[np.ndarray], small: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their columns, and whether each sorted row opens a new run of equal ones.
+
+    Three-way multikey quicksort: rows under, at and over a pivot; those at it go on with the next column. Parts of `small`
+    rows are sorted at once.
+    """
+    n = len(columns[0])
+    order, opens = np.arange(n), np.zeros(n, bool)
+    opens[:1] = True
+    todo = [(0, n, 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        if high - low < 2 or depth == len(columns):
+            continue
+        part = order[low:high]
+        if high - low <= small:
+            part = part[np.lexsort([c[part] for c in reversed(columns[depth:])])]
+            order[low:high] = part
+            for c in columns[depth:]:
+                v = c[part]
+                opens[low + 1 : high] |= v[1:] != v[:-1]
+            continue
+        v = columns[depth][part]
+        few = np.sort(v[:: max(1, len(v) // 255)])
+        pivot = few[len(few) // 2]
+        under, at = v < pivot, v == pivot
+        order[low:high] = np.concatenate([part[under], part[at], part[~(under | at)]])
+        first = low + int(under.sum())
+        last = first + int(at.sum())
+        opens[first] = True
+        if last < high:
+            opens[last] = True
+        todo += [(low, first, depth), (first, last, depth + 1), (last, high, depth)]
     return order, opens
 
 
-def _pack(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    """Docs with counts, gaps between places, 5 bytes of each hash. Sorted by doc and place."""
-    ids, first, n = np.unique(doc, return_index=True, return_counts=True)
-    gap = np.diff(pos, prepend=0)
-    gap[first] = pos[first]
-    kind = np.uint16 if gap.max(initial=0) < 1 << 16 else np.uint64
+def _pack(key: np.ndarray, doc: np.ndarray) -> bytes:
+    """Docs with counts, the low 5 bytes of each hash. Sorted by doc."""
+    ids, n = np.unique(doc, return_counts=True)
     short = len(ids) > 0 and int(ids[-1]) - int(ids[0]) < 1 << 32 and n.max() < 1 << 16
     low = np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:])
-    head = np.array([len(ids), len(key), kind().itemsize, short, ids[0]], np.int64)
     own = ((ids - ids[0]).astype(np.uint32), n.astype(np.uint16)) if short else (ids.astype(np.int64), n.astype(np.uint32))
-    return b"".join((head.tobytes(), own[0].tobytes(), own[1].tobytes(), gap.astype(kind).tobytes(), low.tobytes()))
+    return b"".join((np.array([len(ids), len(key), short, ids[0]], np.int64).tobytes(), own[0].tobytes(), own[1].tobytes(), low.tobytes()))
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, n, wide, short, least = np.frombuffer(raw, np.int64, 5)
-    at, (id_kind, n_kind) = 40, (np.uint32, np.uint16) if short else (np.int64, np.uint32)
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    docs, n, short, least = np.frombuffer(raw, np.int64, 4)
+    at, (id_kind, n_kind) = 32, (np.uint32, np.uint16) if short else (np.int64, np.uint32)
     ids = np.frombuffer(raw, id_kind, docs, at).astype(np.int64) + (least if short else 0)
     at += ids.size * np.dtype(id_kind).itemsize
     count = np.frombuffer(raw, n_kind, docs, at).astype(np.int64)
-    at += docs * np.dtype(n_kind).itemsize
-    gap = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint64, n, at).astype(np.int64)
     low = np.zeros((n, 8), np.uint8)
-    low[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, at + wide * n).reshape(-1, 5)
-    pos = np.cumsum(gap)
-    first = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-    pos -= np.repeat(pos[first] - gap[first], count)
-    return low.view(">u8").ravel().astype(np.uint64), np.repeat(ids, count), pos
+    low[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n, at + docs * np.dtype(n_kind).itemsize).reshape(-1, 5)
+    return low.view(">u8").ravel().astype(np.uint64), np.repeat(ids, count)
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """(id, places) rows from loose places."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
+def _by_doc(doc: np.ndarray, key: np.ndarray) -> list[pa.Array]:
+    """(id, keys) from loose pairs."""
+    order = np.argsort(doc, kind="stable")
+    doc, key = doc[order], (key[order] & LOW).astype(np.int64)
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first].astype(np.int64)), places], names=["id", "places"])
+    return [pa.array(doc[first].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(key))]
+
+
+def _shared(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, the first of each hash in it, and whether two documents have that hash."""
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    return order, first, np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
 
 
 def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, place): anchors whose hash two documents have. docs: (id, text), ids not null."""
+    """(id, keys): hashes of a document's anchors (40 bits) that another document has, too. docs: (id, text), ids not null."""
 
     def send(batches):
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                d, a, h, _, _ = anchor_runs(raws)
+                d, _, h, _, _ = anchor_runs(raws)
                 if not len(d):
                     continue
-                doc, pos = ids[d].astype(np.int64), a - np.r_[0, np.cumsum([len(r) for r in raws])][d]
-                order = np.argsort(h, kind="stable")
-                first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-                size = np.diff(np.r_[first, len(order)])
-                many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+                doc = ids[d].astype(np.int64)
+                once = np.lexsort((doc, h))  # each hash of a document once, however often it repeats itself
+                once = once[np.r_[True, (h[once][1:] != h[once][:-1]) | (doc[once][1:] != doc[once][:-1])]]
+                h, doc = h[once], doc[once]
+                order, first, many = _shared(h, doc)
                 settled = np.zeros(len(h), bool)
-                settled[order] = np.repeat(many, size)
+                settled[order] = np.repeat(many, np.diff(np.r_[first, len(order)]))
                 if settled.any():  # two documents of this slice: known already
-                    own = _by_doc(doc[settled], pos[settled])
-                    mark = pa.array(-1 - (own.column(0).to_numpy() % buckets), pa.int32())
-                    yield pa.RecordBatch.from_arrays([mark, own.column(0), own.column(1), pa.nulls(len(own), pa.binary())], names=["bucket", "id", "places", "packed"])
-                sent = np.zeros(len(h), bool)
+                    own = _by_doc(doc[settled], h[settled])
+                    mark = pa.array(-1 - (own[0].to_numpy() % buckets), pa.int32())
+                    yield pa.RecordBatch.from_arrays([mark, *own, pa.nulls(len(mark), pa.binary())], names=["bucket", "id", "keys", "packed"])
+                sent = ~settled
                 sent[order[first]] = True  # one of each hash, for other slices
-                sent |= ~settled
                 s = np.flatnonzero(sent)
-                s = s[np.lexsort((pos[s], doc[s]))]
+                s = s[np.argsort(doc[s], kind="stable")]
                 b = ((h[s] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(b, kind="stable")
                 cut = np.flatnonzero(np.r_[True, b[by][1:] != b[by][:-1]])
                 rows = [s[x] for x in np.split(by, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b[by[cut]], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([_pack(h[r], doc[r], pos[r]) for r in rows], pa.binary())],
-                    names=["bucket", "id", "places", "packed"],
+                    [pa.array(b[by[cut]], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([_pack(h[r], doc[r]) for r in rows], pa.binary())],
+                    names=["bucket", "id", "keys", "packed"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            own = table.select(["id", "places"]).combine_chunks()
-            at = pc.list_parent_indices(own.column("places").combine_chunks())
-            return pa.table([own.column("id").take(at), pc.list_flatten(own.column("places"))], names=["id", "place"])
+            return table.select(["id", "keys"])
         got = [_unpack(x) for x in table.column("packed").to_pylist()]
-        h, doc, pos = (np.concatenate([g[i] for g in got]) for i in range(3))
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+        h, doc = (np.concatenate([g[i] for g in got]) for i in range(2))
+        order, first, many = _shared(h, doc)
         hit = order[np.repeat(many, np.diff(np.r_[first, len(order)]))]
-        return pa.table([pa.array(doc[hit], pa.int64()), pa.array(pos[hit], pa.int64())], names=["id", "place"])
+        return pa.table(_by_doc(doc[hit], h[hit]), names=["id", "keys"])
+
+    sent = map_batches(docs, send, "bucket int, id long, keys array<long>, packed binary")
+    return map_groups(sent, ["bucket"], meet, "id long, keys array<long>")
 
-    sent = map_batches(docs, send, "bucket int, id long, places array<long>, packed binary")
-    return map_groups(sent, ["bucket"], meet, "id long, place long")
 
+def _splitters(docs: DataFrame, total: int, ranges: int) -> tuple[list[bytes], dict[bytes, int]]:
+    """First WIDTH bytes of suffixes that cut the corpus's anchors in about equal parts, and how many parts those fill that fill several.
 
-def _splitters(docs: DataFrame, buckets: int) -> list[bytes]:
-    """Leads that cut the corpus's anchors in about equal parts, from a sample of whole documents."""
+    From a sample of whole documents by hash, thinned to PER_BUCKET suffixes for each bucket.
+    """
     n = max(1, docs.count())
-    few = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1_000 / n)))
+    share = min(1.0, max(LEAST_DOCS / n, PER_BUCKET * SPACING * ranges / max(total, 1)))
+    few = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * share))
+    stride = max(1, int(share * total / SPACING / (PER_BUCKET * max(ranges, 64))))
 
     def leads(batches):
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                _, a, _, _, _ = anchor_runs(raws)
-                whole = b"".join(raws)
-                yield pa.RecordBatch.from_arrays([pa.array([whole[i : i + LEAD] for i in a[:: max(1, len(a) // 8_000)].tolist()], pa.binary())], names=["lead"])
-
-    got = sorted(bytes(r["lead"]) for r in map_batches(few, leads, "lead binary").limit(SAMPLE).collect())
-    return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
+                d, a, _, _, _ = anchor_runs(raws)
+                ends, whole = np.cumsum([len(r) for r in raws]), b"".join(raws)
+                yield pa.RecordBatch.from_arrays([pa.array([whole[i : min(i + WIDTH, ends[j])].ljust(WIDTH, b"\0") for i, j in zip(a[::stride].tolist(), d[::stride].tolist(), strict=True)], pa.binary())], names=["lead"])
+
+    got = sorted(bytes(r["lead"]) for r in map_batches(few, leads, "lead binary").toLocalIterator())
+    cuts = Counter(got[len(got) * i // ranges] for i in range(1, ranges)) if got else Counter()
+    return sorted(cuts), {c: k + 1 for c, k in cuts.items() if k > 1}
+
+
+def _folded(buf: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray) -> dict[tuple[bytes, int, int], list[np.ndarray]]:
+    """Starts of the runs with the same bytes and anchor in one document: (bytes, anchor's offset, doc number) to starts."""
+    out: dict[tuple[bytes, int, int], list[np.ndarray]] = {}
+    wide = np.concatenate([buf, np.zeros(WIDTH + SPAN, np.uint8)])
+    for i in range(0, len(start), _RUNS):
+        x, n, o, d = (v[i : i + _RUNS] for v in (start, size, off, doc))
+        most = int(n.max())
+        held = np.zeros((len(x), most + 8), np.uint8)
+        held[:, :most] = wide[x[:, None] + np.arange(most)]
+        held[:, :most][np.arange(most) >= n[:, None]] = 0
+        held[:, most:] = np.stack([n, o, d >> 24, (d >> 16) & 255, (d >> 8) & 255, d & 255, n, o], 1)
+        rows = np.ascontiguousarray(held).view(np.dtype((np.void, held.shape[1]))).ravel()
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
+        for group in np.split(order, first[1:]):
+            j = group[0]
+            out.setdefault((held[j, : n[j]].tobytes(), int(o[j]), int(d[j])), []).append(x[group])
+    return out
 
 
-def _suffixes(held: DataFrame, splitters: list[bytes], spread: int) -> DataFrame:
-    """held: (id, text, places). Suffixes at candidate anchors: (bucket, id, start, off, bytes); bucket < 0: settled, [start, off) goes."""
-    cuts = np.array(splitters, dtype=f"S{LEAD}")
+def _suffixes(held: DataFrame, cuts: list[bytes], hot: dict[bytes, int], subs: int, spread: int) -> DataFrame:
+    """held: (id, text, keys). Suffixes at candidate anchors: (bucket, sub, id, start, gaps, off, bytes); bucket < 0: settled, [start, off) goes."""
+    edges = np.array(cuts, dtype=f"S{WIDTH}")
+    names = ["bucket", "sub", "id", "start", "gaps", "off", "bytes"]
 
     def run(batches):
         for batch in batches:
@@ -233,55 +281,62 @@ def _suffixes(held: DataFrame, splitters: list[bytes], spread: int) -> DataFrame
                 ids = part.column("id").to_pylist()
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 base = np.r_[0, np.cumsum([len(r) for r in raws])]
-                d, a, _, s, e = anchor_runs(raws)
-                wanted = np.zeros(base[-1] + 1, bool)
-                for i, p in enumerate(part.column("places").to_pylist()):
-                    wanted[base[i] + np.array(p or [], np.int64)] = True
-                hit = np.flatnonzero(wanted[a])
-                whole = b"".join(raws)
+                d, a, h, s, e = anchor_runs(raws)
+                keys = part.column("keys")
+                owner = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
+                wanted = (owner.astype(np.uint64) << np.uint64(40)) | keys.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                hit = np.flatnonzero(np.isin((d.astype(np.uint64) << np.uint64(40)) | (h & LOW), wanted))
+                if not len(hit):
+                    continue
+                buf = np.frombuffer(b"".join(raws), np.uint8)
+                kinds = _folded(buf, d[hit], s[hit], e[hit] - s[hit] + WIDTH, a[hit] - s[hit])
                 least: dict[tuple[bytes, int], int] = {}
-                rows = []
-                for di, ai, si, ei in zip(d[hit].tolist(), a[hit].tolist(), s[hit].tolist(), e[hit].tolist(), strict=True):
-                    key, doc = (whole[si : ei + WIDTH], ai - si), ids[di]
-                    rows.append((key, doc, si - int(base[di]), ei - si))
-                    if doc < least.get(key, doc + 1):
-                        least[key] = doc
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for key, doc, start, more in rows:
-                    if doc > least[key]:
-                        if out[0] and out[0][-1] < 0 and out[1][-1] == doc and start <= out[3][-1]:
-                            out[3][-1] = max(out[3][-1], start + more + WIDTH)
-                            continue
-                        item = (-1 - doc % spread, doc, start, start + more + WIDTH, None)
-                    else:  # also where the document has it again: judged alike, but at its own place
-                        item = (0, doc, start, key[1], key[0])
-                    for col, v in zip(out, item, strict=True):
+                for raw, off, di in kinds:
+                    if ids[di] < least.get((raw, off), ids[di] + 1):
+                        least[raw, off] = ids[di]
+                gone: dict[int, list[np.ndarray]] = {}
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                lead = []
+                for (raw, off, di), found in kinds.items():
+                    at = np.sort(np.concatenate(found)) - base[di]
+                    if ids[di] > least[raw, off]:
+                        gone.setdefault(di, []).append(np.stack([at, at + len(raw)], 1))
+                        continue
+                    suffix = raws[di][int(at[0]) + off : int(at[0]) + off + WIDTH].ljust(WIDTH, b"\0")
+                    sub = ids[di] % hot[suffix] if suffix in hot else int.from_bytes(hashlib.blake2b(suffix[:LEAD], digest_size=4).digest(), "big") % subs
+                    lead.append(suffix)
+                    for col, v in zip(out, (0, sub, ids[di], int(at[0]), np.diff(at).astype(np.uint32).tobytes(), off, raw), strict=True):
                         col.append(v)
-                bucket = np.array(out[0], np.int64)
-                to_sort = np.flatnonzero(bucket == 0)
-                if len(to_sort):
-                    lead = np.array([out[4][i][out[3][i] : out[3][i] + LEAD] for i in to_sort.tolist()], dtype=f"S{LEAD}")
-                    bucket[to_sort] = np.searchsorted(cuts, lead, side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                    names=["bucket", "id", "start", "off", "bytes"],
-                )
+                if lead:
+                    out = (np.searchsorted(edges, np.array(lead, dtype=f"S{WIDTH}"), side="right").tolist(), *out[1:])
+                for di, spans in gone.items():
+                    for x, y in merged_ranges(np.concatenate(spans)):
+                        for col, v in zip(out, (-1 - ids[di] % spread, 0, ids[di], x, None, y, None), strict=True):
+                            col.append(v)
+                kinds_of = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_of, strict=True)], names=names)
 
-    return map_batches(held, run, "bucket int, id long, start long, off long, bytes binary")
+    return map_batches(held, run, "bucket int, sub int, id long, start long, gaps binary, off long, bytes binary")
 
 
-def sorted_bucket(ids: list[int], starts: list[int], offs: list[int], parts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-    """Byte ranges (id, from, to) that go, among suffixes with their windows' bytes."""
+def sorted_bucket(ids: list[int], offs: list[int], parts: list[bytes], low_cut: bytes, high_cut: bytes) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """For each suffix with its windows' bytes: byte ranges that go, and the windows that are the bucket's first but may have equals in another bucket.
+
+    The cuts are the bucket's own splitters, empty at the ends.
+    """
     kinds: dict[tuple[bytes, int], int] = {}
     leads: dict[bytes, list[int]] = {}
-    kind_of, least = [], []
+    kind_of, least, touch = [], [], []
     for doc, off, raw in zip(ids, offs, parts, strict=True):
         key = (raw, off)
         k = kinds.get(key)
         if k is None:
             k = kinds[key] = len(least)
             least.append(doc)
-            leads.setdefault(raw[off : off + LEAD], []).append(k)
+            lead = raw[off : off + LEAD]
+            leads.setdefault(lead, []).append(k)
+            same = max((len(os.path.commonprefix([raw[off : off + WIDTH], c])) for c in (low_cut, high_cut) if c[:LEAD] == lead), default=0)
+            touch.append(min(max(0, off - WIDTH + same + 1), len(raw) - WIDTH + 1))
         elif doc < least[k]:
             least[k] = doc
         kind_of.append(k)
@@ -310,56 +365,85 @@ def sorted_bucket(ids: list[int], starts: list[int], offs: list[int], parts: lis
         low = np.empty(len(row), np.int64)
         low[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(order)]))
         mins = dict(zip(which, np.split(low, np.cumsum(n)[:-1]), strict=True))
-    out: tuple[list[int], list[int], list[int]] = ([], [], [])
-    for doc, start, k, raw in zip(ids, starts, kind_of, parts, strict=True):
-        spans = []
+    out = []
+    for doc, k, raw in zip(ids, kind_of, parts, strict=True):
+        spans, mine = [], []
         if doc > least[k]:
             spans = [(0, len(raw))]
-        elif k in mins:
-            gone = np.flatnonzero(mins[k] < doc)
-            if len(gone):
-                cut = np.flatnonzero(np.diff(gone) > 1)
-                spans = list(zip(gone[np.r_[0, cut + 1]].tolist(), (gone[np.r_[cut, len(gone) - 1]] + WIDTH).tolist(), strict=True))
-        for x, y in spans:
-            out[0].append(doc)
-            out[1].append(start + x)
-            out[2].append(start + y)
+        else:
+            gone = mins[k] < doc if k in mins else np.zeros(len(raw) - WIDTH + 1, bool)
+            at = np.flatnonzero(gone)
+            if len(at):
+                cut = np.flatnonzero(np.diff(at) > 1)
+                spans = list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + WIDTH).tolist(), strict=True))
+            mine = np.flatnonzero(~gone[: touch[k]]).tolist()
+        out.append((spans, mine))
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, disjoint, not touching."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+def starts_of(start: int, gaps: bytes) -> np.ndarray:
+    return start + np.r_[0, np.cumsum(np.frombuffer(gaps, np.uint32).astype(np.int64))]
+
+
+def merged_ranges(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Rows (from, to): sorted, disjoint, not touching."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    head = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
+    return list(zip(spans[head, 0].tolist(), reach[np.r_[head[1:] - 1, len(spans) - 1]].tolist(), strict=True))
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(id, spans): byte ranges that go, of each document that has some. texts: (id, text, ...), ids not null."""
     keyed = texts.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("key")).where(f"n >= {WIDTH}")
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "first")
-    copies = staged(keyed.join(first, "key").where("id > first").select("id", "n"), "copies")
+    # Written first, so that both sides of the join are plain shuffles, whose skewed parts are split.
+    copies = staged(keyed.join(staged(first, "first-copies"), "key").where("id > first").select("id", "n"), "copies")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
+    ranges = min(parts, MOST_RANGES)
     hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
-    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("long"), F.lit(1)))
-    places = both.groupBy("id").agg(F.collect_list("place").alias("places"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
-    suffixes = _suffixes(texts.join(places, "id"), _splitters(texts, parts), parts)
+    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("array<long>"), F.lit(1)))
+    keys = both.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
+    cuts, hot = _splitters(texts, total, ranges)
+    suffixes = _suffixes(texts.join(keys, "id"), cuts, hot, max(1, parts // ranges), parts)
+    names = ["id", "x", "y", "win", "gaps"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def settle(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
-            got = (table.column("id"), table.column("start"), table.column("off"))
-        else:
-            got = tuple(pa.array(x, pa.int64()) for x in sorted_bucket(*(table.column(c).to_pylist() for c in ("id", "start", "off", "bytes"))))
-        return pa.table(got, names=["id", "x", "y"])
+        b = table.column("bucket")[0].as_py()
+        if b < 0:
+            none = pa.nulls(len(table), pa.binary())
+            return pa.table([table.column("id"), table.column("start"), table.column("off"), none, none], names=names)
+        ids, offs, raws, starts, gaps = (table.column(c).to_pylist() for c in ("id", "off", "bytes", "start", "gaps"))
+        found = sorted_bucket(ids, offs, raws, cuts[b - 1] if b else b"", cuts[b] if b < len(cuts) else b"")
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc, raw, start, gap, (spans, mine) in zip(ids, raws, starts, gaps, found, strict=True):
+            at = starts_of(start, gap) if spans else None
+            rows = [(doc, x, y, None, None) for x, y in merged_ranges(np.concatenate([np.stack([at + x, at + y], 1) for x, y in spans]))] if spans else []
+            rows += [(doc, start + x, None, raw[x : x + WIDTH], gap) for x in mine]
+            for r in rows:
+                for col, v in zip(out, r, strict=True):
+                    col.append(v)
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+
+    settled = staged(map_groups(suffixes, ["bucket", "sub"], settle, "id long, x long, y long, win binary, gaps binary"), "settled")
+    # Across boundaries: a bucket has one document for each window here.
+    open_ = settled.where("win is not null").withColumn("first", F.min("id").over(Window.partitionBy("win"))).where("id > first")
+
+    def spell(batches):
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for doc, x, gap in zip(*(batch.column(c).to_pylist() for c in ("id", "x", "gaps")), strict=True):
+                at = starts_of(x, gap)
+                for low, high in merged_ranges(np.stack([at, at + WIDTH], 1)):
+                    for col, v in zip(out, (doc, low, high), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["id", "x", "y"])
 
-    ranges = map_groups(suffixes, ["bucket"], settle, "id long, x long, y long")
-    ranges = ranges.union(copies.select("id", F.lit(0).cast("long"), "n"))
-    return ranges.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
+    crossing = map_batches(open_.select("id", "x", "gaps"), spell, "id long, x long, y long")
+    spans = settled.where("win is null").select("id", "x", "y").union(crossing).union(copies.select("id", F.lit(0).cast("long"), "n"))
+    return spans.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
 
 
 def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,8 +451,9 @@ def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", tex
 
     kept_text drops what is left of characters cut by a range's edge; kept_sha256 is of all bytes left. A null
     text counts as empty (kept_text stays null); a row without an id takes no part; rows that repeat an id are one
-    document and are not each other's copies.
+    document and are not each other's copies; an empty table gives an empty result. keep must not name a column that is added (ValueError).
     """
+    reject(df.select(*keep), "id", "spans", id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     # No alias where none is needed: it would keep the two exchanges of the texts from being one.
     own = F.col("text") if text == "text" and dict(df.dtypes)["text"] == "string" else F.col(text).cast("string").alias("text")
     docs = df.select(*keep, F.col(id_col).cast("long").alias("id"), own)
@@ -385,7 +470,7 @@ def dedup(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", tex
                 spans_of = part.column("spans").to_pylist()
                 for t, s in zip(part.column("text").to_pylist(), spans_of, strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
-                    m = merged([(x["x"], x["y"]) for x in s or ()])
+                    m = merged_ranges(np.array([(x["x"], x["y"]) for x in s], np.int64)) if s else []
                     rest = b"".join(raw[x:y] for x, y in zip([0] + [y for _, y in m], [x for x, _ in m] + [len(raw)], strict=True))
                     n.append(len(raw))
                     gone.append(len(raw) - len(rest))

@@ -260,6 +260,44 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffixes.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_across_boundaries_equals_brute_force(spark, monkeypatch):
+    """A hot lead before varying bytes, a hot suffix after varying bytes, both cut over many buckets, and periodic texts."""
+    monkeypatch.setattr(suffixes, "SUFFIX_BYTES", 400)
+    rng = random.Random(14)
+    # One tail for all; of the leads of 20 bytes in it, those with the least hash are anchors.
+    tail = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = [words(rng, 6) + " " + tail[: rng.randint(20, 90)] + words(rng, rng.randint(0, 9), 12) for _ in range(120)]
+    texts += [rng.choice("xyz") * rng.randint(0, 3) + tail[rng.randint(0, 30) :] + rng.choice("xyz") for _ in range(80)]
+    texts += ["abc" * 70, "abc" * 90, "q" * 200, "w" + "q" * 120, ("abcdefghij" * 5 + "!") * 6, "abcdefghij" * 11]
+    rng.shuffle(texts)
+    cuts, hot = suffixes._splitters(docs(spark, texts).select(F.col("doc_id").alias("id"), "text"), sum(map(len, texts)), 40)
+    leads = Counter(c[: suffixes.LEAD] for c in cuts)
+    assert max(leads.values()) > 1 and hot
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup(docs(spark, texts)).collect()}
+    assert got == brute_cut(list(enumerate(texts)))
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    """20 MB of one period, and 20 MB on one line that another text shares a part of."""
+    rng = np.random.default_rng(4)
+    plain = rng.integers(97, 123, 20_000_000, np.uint8).tobytes().decode()
+    period = "0123456789abcdefg" * 1_200_000
+    rows = [(0, "short " + plain[7_000_000:7_000_300]), (1, plain), (2, period), (3, "x" + period[5:400] + "y"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup(df).drop("kept_text").collect()}
+    assert got == {0: (306, 0, 0), 1: (20_000_000, 300, 1), 2: (20_400_000, 0, 0), 3: (397, 395, 1), 4: (0, 0, 0)}
+
+
+def test_multikey_order_is_a_sort():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 3), (1, 3), (500, 3), (3000, 40), (3000, 2)):
+        columns = [rng.integers(0, top, n).astype(np.uint64) for _ in range(4)]
+        order, opens = suffixes.multikey_order(columns, 16)
+        rows = list(zip(*(c[order].tolist() for c in columns)))
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert opens.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
+
+
 def test_suffix_dedup_keeps_rows_without_id_and_repeats(spark):
     df = spark.createDataFrame([(1, "z" * 90), (1, "z" * 90), (None, "z" * 90)], "doc_id long, text string")
     assert [r["n_removed"] for r in suffixes.dedup(df).collect()] == [0, 0, 0]
