@@ -184,7 +184,9 @@ def calibrate(raw: np.ndarray, y: np.ndarray, cut: float, balanced: bool = True)
     value[:-1][r[1:] == r[:-1]] = -1
     best = np.flatnonzero(value >= value.max() - 1e-12)
     at = best[len(best) // 2]
-    edge = (r[at] + r[min(at + 1, len(r) - 1)]) / 2
+    edge = (r[at] + r[at + 1]) / 2 if at + 1 < len(r) else r[at] + 1.0  # all on one side of the cut: a clear step beyond it
+    if value.max() < (1.0 if balanced else t.mean()):
+        edge = r[0] - 1.0
     spread = max(float(np.percentile(np.abs(raw - edge), 50)), 0.5)
     slope = 3.0 / spread
     return slope, float(np.log(cut / (1 - cut)) - slope * edge)

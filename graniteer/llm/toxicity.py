@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     """Fit on up to `sample` rows of labels (doc_id, label) that `usable` admits, and as many of docs without a label.
 
     A document with several labels counts with the largest; one whose id is repeated, with its first text in order. Null
-    labels and ids take no part. With labels of one class, or none, every text scores alike.
+    labels and ids take no part. Where no entry tells the classes apart (labels of one class, say, or none), every text scores 0.5.
     """
     from .crf import calibrate
 
@@ -215,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
 
     got = sorted((r["y"], list(r["f"])) for r in map_batches(texts, features, "y int, f array<int>").collect())
-    if not n_t or not n_c:  # nothing tells the classes apart
-        return Model(index, (0.0,) * n_features, 1.0, 0.0 if not got else (-2.0, 2.0)[bool(n_t)])
+    if not order:  # nothing tells the classes apart
+        return Model(index, (0.0,) * n_features, 1.0, 0.0)
     y, rows = np.array([r[0] for r in got]), [r[1] for r in got]
     # Voters: the patterns, and the entries with one beginning and number.
     group: dict[str, int] = {}

@@ -197,6 +197,12 @@ def test_forward_backward_equals_brute_force():
     assert abs(z - total) < 1e-9 and abs(pairs.sum() - (n - 1).sum()) < 1e-9
 
 
+def test_cut_of_scores_that_tell_nothing():
+    of = lambda raw, y, balanced: [1 / (1 + np.exp(-(a * x + b))) >= 0.7 for a, b in [crf.calibrate(np.array(raw), np.array(y), 0.7, balanced)] for x in raw]
+    assert of([0.0] * 5, [0, 0, 0, 1, 1], False) == [False] * 5 and of([0.0] * 5, [0, 1, 1, 1, 1], False) == [True] * 5
+    assert of([0.0, 1.0, 2.0, 3.0], [0, 0, 1, 1], True) == [False, False, True, True]
+
+
 @have_data
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
@@ -713,6 +719,26 @@ def test_pipeline_folds_only_rows_of_one_id_and_text(spark):
     assert all(any(x in t for _, t in cut) for x in (a, b, d))
 
 
+@have_pieces
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    """Nulls in all columns, empty and repeated rows, extra columns with clashing names, an empty table."""
+    spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, t, "en" if i % 3 else None, "src0" if i % 2 else None, len(t or "")) for i, t in enumerate(ODD)]
+    rows += [rows[3], rows[4], (None, None, None, None, None), (None, "z" * 80, None, None, None), (None, "z" * 80, None, None, None)]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("odd") for c in ("slot", "component_id", "token_ids", "row_id", "score", "extra")})
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, str(tmp_path))
+        assert name == "tokens" or got.columns == list(corpus_pipeline.COLUMNS)
+        left[name] = got.collect()
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert len(left["toxicity"]) == len(left["repeated passages"]) == len(left["mixing"]) == len(left["tokens"]) == len(rows)
+    assert Counter(map(tuple, left["mixing"])) == Counter(rows)
+    assert Counter((r["doc_id"], r["token_ids"] is None, r["round_trip"]) for r in left["tokens"]) == Counter((i, t is None, True) for i, t, *_ in rows)
+    assert Counter(r["doc_id"] for r in left["near-duplicates"]) == Counter([0, 1, 2, 3, 4, 5, 6, 8, 9, None, None])
+    assert [len(r["text"]) for r in left["repeated passages"] if r["doc_id"] in (6, 7)] in ([len(ODD[6]), 0], [0, len(ODD[6])])
+
+
 def test_crc_is_that_of_the_id_as_text(spark):
     import zlib
 
