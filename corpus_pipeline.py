@@ -1,8 +1,11 @@
 """Documents to training data, in five stages, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last
-return the columns of documents. SQL cannot express the trained, hashed and byte-level stages, so
+return the columns of documents. SQL cannot express the trained and encoding stages, so
 ORACLE_SQL is None and the tests compare with brute force.
+
+In all stages: other columns of docs are left out, whatever their names; an empty table gives an empty one; a null text counts as
+an empty text and stays null; null languages and sources are values like others.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go; labels of held-out rows are not learnt."""
+    """Documents that score 0.7 or more go; labels of held-out rows are not learnt.
+
+    Rows without id are scored as others; rows that repeat an id are judged each by its own text; empty texts are clean.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) != 1)
     return toxicity.clean(docs.select(*COLUMNS), model, 0.7)
@@ -47,8 +53,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays.
 
-    Rows fold only where doc_id and text agree; a text without id, or a further text of an id, is a
-    document of its own after all others.
+    Rows fold only where doc_id and text agree (the least lang, source and n_chars stay); a text without id, or a further
+    text of an id, is a document of its own after all others. Null and empty texts are like nothing else and stay.
     """
     held = numbered(docs)
     gone = minhash.near_duplicates(held, id_col="row_id").where("id <> component_id").select(F.col("id").alias("row_id")).distinct()
@@ -57,7 +63,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 50 and more that start in an earlier document go; every document stays."""
+    """Byte strings of 50 and more that start in an earlier document go; every document stays.
+
+    A text without id, or a further text of an id, is a document of its own after all others. Rows that repeat id and
+    text are not each other's copies.
+    """
     out = suffixes.dedup(numbered(docs), keep=("doc_id", "lang", "source"), id_col="row_id")
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -69,7 +79,10 @@ def in_slots(docs: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows come out in order of the mixture's slots."""
+    """Rows come out in order of the mixture's slots, none left out: the file order is the decision, which `encode` keeps as columns.
+
+    A null source is a source of its own; rows alike in all columns stay as many as they are; ids do not matter.
+    """
     return in_slots(docs).select(*COLUMNS)
 
 
@@ -77,7 +90,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text in the mixture's order, with a check that decoding gives the text back.
 
     A scan of the files does not keep their order, so slot and place are found again and kept:
-    reading by (slot, place) gives the mixture.
+    reading by (slot, place) gives the mixture. A null text has null token_ids, an empty one an empty list; repeated rows
+    are encoded each.
     """
     return pieces.encode_rows(in_slots(docs), pieces.Codec.load(), keep=("doc_id", "lang", "source", "slot", "place"))
 
