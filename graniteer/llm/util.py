@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -15,10 +19,19 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as spark.checkpoint.dir names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
+
+    Where none is set, one of our own, deleted at exit, if all runs on this machine (master local); an error on a cluster.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="graniteer-")
+        atexit.register(shutil.rmtree, own, True)
+        context.setCheckpointDir(own)
+        found = context.getCheckpointDir()
     return found
 
 
