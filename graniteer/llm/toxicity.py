@@ -100,18 +100,21 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + gain, -40, 40)))
 
 
-def forest(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Parents of the voters: a maximum spanning forest of the pairs that depend on each other given the class."""
-    n, k = votes.shape
+def forest(votes: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Parents of the voters: a maximum spanning forest of the pairs that depend on each other given the class.
+
+    toxic, clean: how many documents with each row's votes are in either class.
+    """
+    k = votes.shape[1]
     gain = np.zeros((k, k))
-    for w in (p, 1 - p):
+    for w in (toxic, clean):
         total = w.sum() + 1e-9
         one = (votes * w[:, None]).sum(0) / total
         both = (votes * w[:, None]).T @ votes / total
         for joint, a, b in ((both, one, one), (one[:, None] - both, one, 1 - one), (one[None] - both, 1 - one, one), (1 - one[:, None] - one[None] + both, 1 - one, 1 - one)):
             joint = np.clip(joint, 1e-12, None)
             gain += total * joint * np.log(joint / np.clip(a[:, None] * b[None], 1e-12, None))
-    gain -= EDGE * np.log(max(n, 2))  # two more parameters, half a log each, EDGE times over
+    gain -= EDGE * np.log(max(toxic.sum() + clean.sum(), 2))  # two more parameters, half a log each, EDGE times over
     np.fill_diagonal(gain, 0)
     parent, inside, best, via = np.full(k, -1), np.zeros(k, bool), np.zeros(k), np.full(k, -1)
     for _ in range(k):
@@ -127,29 +130,33 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 60, every: i
 
     known: 1 or 0 where a label was given, else -1. Given labels count in the voters' rates, as a prior on their accuracies; they
     are no votes, and a row's posterior never looks at its own. Start: half of a vote is toxic, within the given labels' balance.
+    Rows with the same votes are fitted as one, with their number.
     """
-    n, k = votes.shape
-    own, weight = votes.astype(np.int64), np.where(known >= 0, GIVEN, 1.0)
-    p = 1 - 0.5 ** votes.sum(1)
-    p *= min(1.0, (known == 1).sum() / max((known >= 0).sum(), 1) * n / max(p.sum(), 1e-9))
+    own, inverse = np.unique(votes.astype(np.int64), axis=0, return_inverse=True)
+    inverse = inverse.ravel()
+    given_t, given_c, free = (np.bincount(inverse, known == x, len(own)) for x in (1, 0, -1))
+    n, k = len(votes), votes.shape[1]
+    p = 1 - 0.5 ** own.sum(1)
+    mass = (p * np.bincount(inverse, minlength=len(own))).sum()
+    p *= min(1.0, given_t.sum() / max(given_t.sum() + given_c.sum(), 1) * n / max(mass, 1e-9))
     parent = np.full(k, -1)
     model = LabelModel(0.5, parent, np.zeros((k, 2, 2, 2)))
     for r in range(rounds):
-        q = np.where(known >= 0, known, p)
+        toxic, clean = free * p, free * (1 - p)
         if r and r % every == 0:
-            parent = forest(votes, q)
+            parent = forest(own, toxic + given_t, clean + given_c)
         above = np.where(parent >= 0, own[:, parent], 0)
         rate = np.zeros((k, 2, 2, 2))
-        for c, w in enumerate(((1 - q) * weight, q * weight)):
+        for c, w in enumerate((clean + GIVEN * given_c, toxic + GIVEN * given_t)):
             base = ((own * w[:, None]).sum(0) + 0.1) / (w.sum() + 0.2)
             for u in (0, 1):
                 here = (above == u) * w[:, None]
                 # A voter's rate under either vote of its parent leans on its rate in the class.
                 rate[:, c, u, 1] = ((here * own).sum(0) + base) / (here.sum(0) + 1)
         rate[..., 0] = 1 - rate[..., 1]
-        model = LabelModel(float(q.mean().clip(0.001, 0.999)), parent, np.log(np.clip(rate, 1e-9, 1)))
-        p = model.posterior(votes)
-    return model, p
+        model = LabelModel(float(((toxic + given_t).sum() / max(n, 1)).clip(0.001, 0.999)), parent, np.log(np.clip(rate, 1e-9, 1)))
+        p = model.posterior(own)
+    return model, p[inverse]
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int = 400, ridge: float = 2e-4) -> np.ndarray:

@@ -620,7 +620,7 @@ def test_dependence_forest_is_the_best_one():
     p = (rng.random(n) < 0.5).astype(float)
     a, b = rng.random(n) < 0.4, rng.random(n) < 0.4
     votes = np.stack([a, a ^ (rng.random(n) < 0.05), b, b ^ (rng.random(n) < 0.1), rng.random(n) < 0.5], 1).astype(float)
-    parent = toxicity.forest(votes, p)
+    parent = toxicity.forest(votes, p, 1 - p)
     assert {frozenset((i, int(j))) for i, j in enumerate(parent) if j >= 0} == {frozenset((0, 1)), frozenset((2, 3))}
     assert all(parent[i] != j or parent[j] != i for i, j in itertools.permutations(range(5), 2))
 
