@@ -250,9 +250,9 @@ def _splitters(docs: DataFrame, total: int, ranges: int) -> tuple[list[bytes], d
     return sorted(cuts), {c: k + 1 for c, k in cuts.items() if k > 1}
 
 
-def _folded(buf: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray) -> dict[tuple[bytes, int, int], list[np.ndarray]]:
-    """Starts of the runs with the same bytes and anchor in one document: (bytes, anchor's offset, doc number) to starts."""
-    out: dict[tuple[bytes, int, int], list[np.ndarray]] = {}
+def _folded(buf: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray) -> dict[tuple[bytes, int, int], int | list[np.ndarray]]:
+    """Starts of the runs with the same bytes and anchor in one document: (bytes, anchor's offset, doc number) to the start, or to arrays of them."""
+    out: dict[tuple[bytes, int, int], int | list[np.ndarray]] = {}
     wide = np.concatenate([buf, np.zeros(WIDTH + SPAN, np.uint8)])
     for i in range(0, len(start), _RUNS):
         x, n, o, d = (v[i : i + _RUNS] for v in (start, size, off, doc))
@@ -261,12 +261,19 @@ def _folded(buf: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarra
         held[:, :most] = wide[x[:, None] + np.arange(most)]
         held[:, :most][np.arange(most) >= n[:, None]] = 0
         held[:, most:] = np.stack([n, o, d >> 24, (d >> 16) & 255, (d >> 8) & 255, d & 255, n, o], 1)
-        rows = np.ascontiguousarray(held).view(np.dtype((np.void, held.shape[1]))).ravel()
+        rows = held.view(np.dtype((np.void, most + 8))).ravel()
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-        for group in np.split(order, first[1:]):
-            j = group[0]
-            out.setdefault((held[j, : n[j]].tobytes(), int(o[j]), int(d[j])), []).append(x[group])
+        many = np.diff(np.r_[first, len(order)])
+        at, whole, wide_row = order[first], held.tobytes(), most + 8
+        for f, k, j, xj, nj, oj, dj in zip(first.tolist(), many.tolist(), at.tolist(), x[at].tolist(), n[at].tolist(), o[at].tolist(), d[at].tolist(), strict=True):
+            key = (whole[j * wide_row : j * wide_row + nj], oj, dj)
+            known = out.get(key)
+            if known is None and k == 1:
+                out[key] = xj
+                continue
+            group = x[order[f : f + k]]
+            out[key] = [group] if known is None else [*known, group] if isinstance(known, list) else [np.array([known]), group]
     return out
 
 
@@ -281,6 +288,7 @@ def _suffixes(held: DataFrame, cuts: list[bytes], hot: dict[bytes, int], subs: i
                 ids = part.column("id").to_pylist()
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 base = np.r_[0, np.cumsum([len(r) for r in raws])]
+                low = base.tolist()
                 d, a, h, s, e = anchor_runs(raws)
                 keys = part.column("keys")
                 owner = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
@@ -294,23 +302,30 @@ def _suffixes(held: DataFrame, cuts: list[bytes], hot: dict[bytes, int], subs: i
                 for raw, off, di in kinds:
                     if ids[di] < least.get((raw, off), ids[di] + 1):
                         least[raw, off] = ids[di]
-                gone: dict[int, list[np.ndarray]] = {}
+                gone: dict[int, list[tuple[int, int]]] = {}
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 lead = []
                 for (raw, off, di), found in kinds.items():
-                    at = np.sort(np.concatenate(found)) - base[di]
+                    if isinstance(found, int):
+                        first, gaps, at = found - low[di], b"", None
+                    else:
+                        at = np.sort(np.concatenate(found)) - low[di]
+                        first, gaps = int(at[0]), np.diff(at).astype(np.uint32).tobytes()
                     if ids[di] > least[raw, off]:
-                        gone.setdefault(di, []).append(np.stack([at, at + len(raw)], 1))
+                        gone.setdefault(di, []).extend([(first, first + len(raw))] if at is None else merged_ranges(np.stack([at, at + len(raw)], 1)))
                         continue
-                    suffix = raws[di][int(at[0]) + off : int(at[0]) + off + WIDTH].ljust(WIDTH, b"\0")
-                    sub = ids[di] % hot[suffix] if suffix in hot else int.from_bytes(hashlib.blake2b(suffix[:LEAD], digest_size=4).digest(), "big") % subs
+                    suffix = raws[di][first + off : first + off + WIDTH].ljust(WIDTH, b"\0")
+                    if suffix in hot:
+                        sub = ids[di] % hot[suffix]
+                    else:
+                        sub = int.from_bytes(hashlib.blake2b(suffix[:LEAD], digest_size=4).digest(), "big") % subs if subs > 1 else 0
                     lead.append(suffix)
-                    for col, v in zip(out, (0, sub, ids[di], int(at[0]), np.diff(at).astype(np.uint32).tobytes(), off, raw), strict=True):
+                    for col, v in zip(out, (0, sub, ids[di], first, gaps, off, raw), strict=True):
                         col.append(v)
                 if lead:
                     out = (np.searchsorted(edges, np.array(lead, dtype=f"S{WIDTH}"), side="right").tolist(), *out[1:])
                 for di, spans in gone.items():
-                    for x, y in merged_ranges(np.concatenate(spans)):
+                    for x, y in merged_ranges(np.array(spans, np.int64)):
                         for col, v in zip(out, (-1 - ids[di] % spread, 0, ids[di], x, None, y, None), strict=True):
                             col.append(v)
                 kinds_of = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
@@ -387,6 +402,8 @@ def starts_of(start: int, gaps: bytes) -> np.ndarray:
 
 def merged_ranges(spans: np.ndarray) -> list[tuple[int, int]]:
     """Rows (from, to): sorted, disjoint, not touching."""
+    if len(spans) == 1:
+        return [tuple(spans[0].tolist())]
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
     head = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
@@ -419,8 +436,11 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         found = sorted_bucket(ids, offs, raws, cuts[b - 1] if b else b"", cuts[b] if b < len(cuts) else b"")
         out: tuple[list, ...] = ([], [], [], [], [])
         for doc, raw, start, gap, (spans, mine) in zip(ids, raws, starts, gaps, found, strict=True):
-            at = starts_of(start, gap) if spans else None
-            rows = [(doc, x, y, None, None) for x, y in merged_ranges(np.concatenate([np.stack([at + x, at + y], 1) for x, y in spans]))] if spans else []
+            if not gap:
+                rows = [(doc, start + x, start + y, None, None) for x, y in spans]
+            else:
+                at = starts_of(start, gap)
+                rows = [(doc, x, y, None, None) for x, y in merged_ranges(np.concatenate([np.stack([at + x, at + y], 1) for x, y in spans]))] if spans else []
             rows += [(doc, start + x, None, raw[x : x + WIDTH], gap) for x in mine]
             for r in rows:
                 for col, v in zip(out, r, strict=True):
