@@ -180,7 +180,7 @@ def _shared(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, keys): hashes of a document's anchors (40 bits) that another document has, too. docs: (id, text), ids not null."""
+    """(id, key): hashes of a document's anchors (40 bits) that another document has, too; a row each. docs: (id, text), ids not null."""
 
     def send(batches):
         for batch in batches:
@@ -216,15 +216,17 @@ def _repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["id", "keys"])
+            own = table.select(["id", "keys"]).combine_chunks()
+            keys = own.column("keys").combine_chunks()
+            return pa.table([own.column("id").take(pc.list_parent_indices(keys)), pc.list_flatten(keys)], names=["id", "key"])
         got = [_unpack(x) for x in table.column("packed").to_pylist()]
         h, doc = (np.concatenate([g[i] for g in got]) for i in range(2))
         order, first, many = _shared(h, doc)
         hit = order[np.repeat(many, np.diff(np.r_[first, len(order)]))]
-        return pa.table(_by_doc(doc[hit], h[hit]), names=["id", "keys"])
+        return pa.table([pa.array(doc[hit], pa.int64()), pa.array((h[hit] & LOW).astype(np.int64))], names=["id", "key"])
 
     sent = map_batches(docs, send, "bucket int, id long, keys array<long>, packed binary")
-    return map_groups(sent, ["bucket"], meet, "id long, keys array<long>")
+    return map_groups(sent, ["bucket"], meet, "id long, key long")
 
 
 def _splitters(docs: DataFrame, total: int, ranges: int) -> tuple[list[bytes], dict[bytes, int]]:
@@ -420,8 +422,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
     ranges = min(parts, MOST_RANGES)
     hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
-    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("array<long>"), F.lit(1)))
-    keys = both.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
+    both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("long"), F.lit(1)))
+    keys = both.groupBy("id").agg(F.collect_list("key").alias("keys"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
     cuts, hot = _splitters(texts, total, ranges)
     suffixes = _suffixes(texts.join(keys, "id"), cuts, hot, max(1, parts // ranges), parts)
     names = ["id", "x", "y", "win", "gaps"]
