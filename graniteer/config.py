@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass, field, fields, replace
+from datetime import datetime
 
 
 def csv_list(text: str) -> list[str]:
@@ -22,19 +23,54 @@ def pattern_map(text: str) -> dict[str, str]:
     return {str(k): v for k, v in found.items() if isinstance(v, str)} if isinstance(found, dict) else {}
 
 
+def parse_time(text: str) -> datetime | None:
+    """An RFC 3339 instant, or None."""
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", text):
+        return None
+    try:
+        return datetime.fromisoformat(text)
+    except ValueError:
+        return None
+
+
 def header_map(text: str) -> dict[str, str]:
     """`k=v` items; those without = or a key are left out."""
     pairs = (x.partition("=") for x in csv_list(text))
     return {k.strip(): v.strip() for k, eq, v in pairs if eq and k.strip()}
 
 
+#: What options may say.
+CHOICES = {
+    "output_format": ("json",),
+    "sensitive_engine": ("auto", "hybrid", "deterministic"),
+    "sensitive_longtail": ("off", "sampled", "full"),
+    "sensitive_overlap": ("independent", "exact"),
+    "sensitive_match_mode": ("all", "first"),
+    "redact_sensitive": ("", "none", "mask", "hash"),
+    "delta_cache_mode": ("mtime", "chunk"),
+    "profile": ("adaptive", "ultra"),
+}
+#: Options that must not be negative, and the most that some may be.
+NOT_NEGATIVE = ("content_scan_max_bytes", "delta_cache_max_bytes", "fuzzy_min_size", "fuzzy_max_size", "max_io_per_second", "metadata_max_bytes", "otel_timeout", "sensitive_max_matches_per_type", "sensitive_max_total_matches", "xattr_max_value_size")
+MOST = {"delta_chunk_bytes": 64 << 20, "sensitive_window_bytes": 16 << 20}
+MOST_SCANNED = 256 << 20
+
+
 @dataclass(frozen=True)
 class ScanConfig:
     start_paths: tuple[str, ...] = (".",)
+    all_drives: bool = False
     scan_files: bool = True
     scan_sensitive: bool = False
     scan_processes: bool = False
+    extended_process_info: bool = False
     collect_system_info: bool = False
+    collect_scheduled_tasks: bool = True
+    collect_users: bool = True
+    collect_groups: bool = True
+    collect_admins: bool = True
+    output_format: str = "json"
+    output_file_name: str = "scan.ndjson"
     hash_algorithms: tuple[str, ...] = ("md5", "sha1", "sha256")
     search_terms: tuple[str, ...] = ()
     include_patterns: tuple[str, ...] = ()
@@ -42,11 +78,13 @@ class ScanConfig:
     max_file_size: int = 10_485_760
     content_scan_max_bytes: int = 10 * 1024 * 1024
     max_output_file_size: int = 104_857_600
+    max_io_per_second: int = 1_000
+    skip_count: bool = True
     include_sensitive_data_types: tuple[str, ...] = ()
     exclude_sensitive_data_types: tuple[str, ...] = ()
     custom_patterns: dict[str, str] = field(default_factory=dict)
     sensitive_engine: str = "auto"
-    sensitive_longtail: str = "full"
+    sensitive_longtail: str = "sampled"
     sensitive_window_bytes: int = 4_096
     sensitive_overlap: str = "independent"
     sensitive_match_mode: str = "all"
@@ -60,40 +98,43 @@ class ScanConfig:
     fuzzy_max_size: int = 20 * 1024 * 1024
     delta_scan: bool = False
     delta_cache_mode: str = "chunk"
+    delta_cache_dir: str = ""
     delta_cache_max_bytes: int = 1 << 30
     delta_chunk_bytes: int = 262_144
+    last_scan_file: str = ".graniteer_last_scan"
     last_scan_time: str = ""
     metadata_max_bytes: int = 1 << 20
     collect_xattrs: bool = True
     xattr_max_value_size: int = 1_024
-    collect_acl: bool = False
+    collect_acl: bool = True
+    scan_ads: bool = False
     collect_metadata: bool = True
     export_paths: bool = False
     export_sensitive: bool = False
     export_cmdline: bool = False
+    otel_endpoint: str = ""
+    otel_headers: dict[str, str] = field(default_factory=dict)
+    otel_service_name: str = "graniteer"
+    otel_timeout: float = 5.0
     profile: str = "adaptive"
 
     def __post_init__(self) -> None:
-        errors = [
-            why
-            for bad, why in (
-                (not self.start_paths, "at least one start path is needed"),
-                (self.content_scan_max_bytes > 256 << 20, "content_scan_max_bytes is at most 256 MiB"),
-                (self.max_output_file_size <= 0, "max_output_file_size must be positive"),
-                (self.sensitive_engine not in ("auto", "hybrid", "deterministic"), "unknown sensitive_engine"),
-                (self.sensitive_longtail not in ("off", "sampled", "full"), "unknown sensitive_longtail"),
-                (self.sensitive_overlap not in ("independent", "exact"), "unknown sensitive_overlap"),
-                (self.sensitive_match_mode not in ("all", "first"), "unknown sensitive_match_mode"),
-                (self.redact_sensitive not in ("", "none", "mask", "hash"), "unknown redact_sensitive"),
-                (self.delta_cache_mode not in ("mtime", "chunk"), "unknown delta_cache_mode"),
-                (self.sensitive_window_bytes <= 0, "sensitive_window_bytes must be positive"),
-                (min(self.sensitive_max_matches_per_type, self.sensitive_max_total_matches) < 0, "limits must not be negative"),
-                (self.delta_chunk_bytes <= 0 or self.delta_cache_max_bytes < 0, "delta sizes must be positive"),
-                (self.fuzzy_min_size < 0, "fuzzy_min_size must not be negative"),
-                (self.profile not in ("adaptive", "ultra"), "unknown profile"),
-            )
-            if bad
-        ]
+        errors = [f"{k} must be one of {', '.join(map(repr, v))}" for k, v in CHOICES.items() if getattr(self, k) not in v]
+        errors += [f"{k} must not be negative" for k in NOT_NEGATIVE if getattr(self, k) < 0]
+        errors += [f"{k} must be from 1 to {v}" for k, v in MOST.items() if not 0 < getattr(self, k) <= v]
+        for bad, why in (
+            (not (self.scan_files or self.scan_processes or self.scan_sensitive or self.collect_system_info), "nothing to collect: enable files, sensitive data, processes or system information"),
+            (not self.start_paths and not self.all_drives and (self.scan_files or self.scan_sensitive), "a scan of files needs a start path"),
+            (self.all_drives, "all_drives exists on Windows only"),
+            (self.max_output_file_size <= 0, "max_output_file_size must be positive"),
+            (self.scan_sensitive and self.content_scan_max_bytes == 0, "sensitive scans need a bound on content_scan_max_bytes"),
+            (self.scan_sensitive and self.content_scan_max_bytes > MOST_SCANNED, f"sensitive scans read {MOST_SCANNED} bytes of a file at most"),
+            (bool(self.otel_endpoint) and not self.otel_endpoint.startswith(("http://", "https://")), "otel_endpoint needs http:// or https://"),
+            (self.delta_scan and not self.last_scan_file and not self.last_scan_time, "a delta scan needs the last scan's time, or the file that holds it"),
+            (bool(self.last_scan_time) and parse_time(self.last_scan_time) is None, "last_scan_time must be a date and time with an offset"),
+        ):
+            if bad:
+                errors.append(why)
         if errors:
             raise ValueError("; ".join(errors))
 
@@ -121,6 +162,11 @@ class ScanConfig:
         )
         return replace(out, sensitive_engine="deterministic", sensitive_longtail="off") if out.profile == "ultra" else out
 
+    @property
+    def longtail(self) -> str:
+        """Regexes run unless the engine is deterministic."""
+        return "off" if self.sensitive_engine == "deterministic" else self.sensitive_longtail
+
     @property
     def per_type_limit(self) -> int:
         return 1 if self.sensitive_match_mode == "first" else self.sensitive_max_matches_per_type

@@ -9,7 +9,11 @@ from .blake3 import blake3
 
 # Names and signatures that decide results.
 TEXT_EXTENSIONS = ("txt", "log", "json", "xml", "yaml", "yml", "csv", "md", "rst", "ini", "cfg", "conf", "toml", "env", "html", "htm", "css", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "py", "rb", "php", "java", "kt", "swift", "sh", "bash", "zsh", "ps1")
-SIGNATURES = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462D", "application/pdf"), ("504B0304", "application/zip"), ("1F8B08", "application/gzip"), ("7F454C46", "application/x-executable"), ("425A68", "application/x-bzip2"), ("377ABCAF271C", "application/x-7z-compressed"), ("FD377A585A00", "application/x-xz"), ("52494646", "audio/x-wav"), ("494433", "audio/mpeg"), ("4F676753", "audio/ogg"), ("424D", "image/bmp"))
+SIGNATURES = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462D", "application/pdf"), ("504B0304", "application/zip"), ("1F8B08", "application/gzip"), ("7F454C46", "application/x-executable"), ("425A68", "application/x-bzip2"), ("377ABCAF271C", "application/x-7z-compressed"), ("FD377A585A00", "application/x-xz"), ("494433", "audio/mpeg"), ("4F676753", "audio/ogg"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"), ("00000100", "image/vnd.microsoft.icon"), ("664C6143", "audio/x-flac"), ("1A45DFA3", "video/x-matroska"), ("D0CF11E0A1B11AE1", "application/msword"), ("7B5C727466", "application/rtf"), ("28B52FFD", "application/zstd"), ("526172211A07", "application/vnd.rar"), ("53514C69746520666F726D6174203300", "application/vnd.sqlite3"), ("0061736D", "application/wasm"), ("774F4646", "application/font-woff"), ("774F4632", "application/font-woff"))
+#: Containers by what they say after four or eight bytes, and packed documents by a folder's name in the header.
+RIFF = {"57415645": "audio/x-wav", "41564920": "video/x-msvideo", "57454250": "image/webp"}
+BRANDS = {"4D344120": "audio/mp4", "71742020": "video/quicktime", "68656963": "image/heif", "61766966": "image/avif"}
+PACKED = {"word/": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xl/": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "ppt/": "application/vnd.openxmlformats-officedocument.presentationml.presentation"}
 HEADER = 4_096
 
 
@@ -20,20 +24,47 @@ def hashes(content: Column, algorithms: tuple[str, ...]) -> Column:
     return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mime(content: Column) -> Column:
-    head = F.hex(F.substring(content, 1, 16))
-    out = F.lit("unknown")
-    for sign, kind in reversed(SIGNATURES):
-        out = F.when(head.startswith(sign), F.lit(kind)).otherwise(out)
-    return out
+    """Kind by signature; `unknown` without one."""
+    return let(F.hex(F.substring(content, 1, 16)), lambda head: _kind(head, content))
+
+
+def _kind(head: Column, content: Column) -> Column:
+    cases = [(F.substring(head, 9, 8) == "66747970", let(F.substring(head, 17, 8), lambda x: _one_of(x, BRANDS, "video/mp4")))]
+    cases += [(head.startswith("52494646"), let(F.substring(head, 17, 8), lambda x: _one_of(x, RIFF, "unknown")))]
+    # A local header's name field (30 bytes in) or a later one's.
+    cases += [(head.startswith("504B0304"), let(F.hex(F.substring(content, 1, HEADER)), _packed))]
+    cases += [(head.startswith(sign), F.lit(kind)) for sign, kind in SIGNATURES]
+    out = F.when(*cases[0])
+    for case, kind in cases[1:]:
+        out = out.when(case, kind)
+    return out.otherwise("unknown")
+
+
+def _one_of(x: Column, kinds: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in kinds.items() for v in p]), x), F.lit(other))
+
+
+def _packed(sample: Column) -> Column:
+    out = F
+    for folder, kind in PACKED.items():
+        out = out.when(sample.contains(folder.encode().hex().upper()), F.lit(kind))
+    return out.otherwise("application/zip")
 
 
 def looks_like_text(content: Column) -> Column:
     """First 4,096 bytes: some, valid UTF-8, no NUL, control bytes at most a tenth."""
-    sample = F.substring(content, 1, HEADER)
-    text = F.coalesce(F.try_validate_utf8(sample.cast("string")), F.lit(""))
-    controls = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0E-\\x1F]", ""))
-    return (text != "") & ~text.contains("\x00") & (controls <= F.floor(F.octet_length(sample) / 10))
+
+    def judge(text: Column) -> Column:
+        controls = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0E-\\x1F]", ""))
+        return (text != "") & ~text.contains("\x00") & (controls <= F.floor(F.octet_length(text) / 10))
+
+    return let(F.coalesce(F.try_validate_utf8(F.substring(content, 1, HEADER).cast("string")), F.lit("")), judge)
 
 
 def extension(name: Column) -> Column:

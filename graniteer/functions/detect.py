@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .content import let
+
 # The patterns and words below must be what the contract of each type says.
 EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 SPACE = r"[\t\n\f\r ]"
@@ -22,7 +24,7 @@ LONG_TAIL = {
     "china_id": r"\b\d{17}[0-9Xx]\b",
 }
 STREET_WORDS = ("street", "avenue", "road", "lane", "drive")
-STREET_ENDS = "Street|St|Avenue|Ave|Boulevard|Blvd|Road|Rd|Lane|Ln|Drive|Dr"
+STREET_ENDS = re.search(r"\(\?:(Street[^)]*)\)", LONG_TAIL["street_address"])[1]
 
 
 WORDY = r"(?:\\d|(?<!\\)\[[A-Za-z0-9-]+\])"
@@ -137,24 +139,39 @@ def matches(name: str, text: Column, custom: dict[str, str] | None = None) -> Co
         return _all(t, r"AKIA[A-Z0-9]{16}")
     if name == "jwt_token":
         return _all(t, r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-    body = (custom or {}).get(name) or LONG_TAIL[name]
-    found = street(t) if name == "street_address" and not (custom or {}).get(name) else _all(t, to_java(body))
-    return F.when(gate(name, t), found).otherwise(_none())
+    return F.when(gate(name, t), found_in(name, t, custom)).otherwise(_none())
+
+
+def slices(text: Column, window: int) -> Column:
+    """Head, middle and tail of a text in windows of so many bytes, touching ones joined; characters cut at an edge are dropped. For texts over three windows."""
+    n, raw = F.octet_length(text), F.encode(text, "UTF-8")
+    middle = F.floor((n - window) / 2).cast("int")
+    parts = F.array(F.substring(raw, 1, window), F.substring(raw, middle + 1, F.lit(window)), F.substring(raw, n - window + 1, F.lit(window)))
+    joined = F.array(F.substring(raw, 1, 2 * window), F.substring(raw, n - window + 1, F.lit(window)))
+    # Over three windows, the middle touches neither the head nor the tail but by a byte of rounding.
+    return F.transform(F.when(middle <= window, joined).otherwise(parts), lambda p: F.regexp_replace(F.make_valid_utf8(p.cast("string")), "\\A\ufffd+|\ufffd+\\z", ""))
+
+
+def found_in(name: str, text: Column, custom: dict[str, str] | None = None) -> Column:
+    """All matches of a long-tail or custom type, whatever the gate says."""
+    body = (custom or {}).get(name)
+    return street(text) if name == "street_address" and not body else _all(text, to_java(body or LONG_TAIL[name]))
 
 
 def sampled(name: str, text: Column, window: int, custom: dict[str, str] | None = None) -> Column:
-    """Texts over three windows: head, middle and tail only, distinct values; shorter ones whole."""
+    """Texts over three windows of bytes: head, middle and tail only, distinct values; shorter ones whole."""
     t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    middle = F.floor((n - window) / 2).cast("int")
-    body = to_java((custom or {}).get(name) or LONG_TAIL[name])
-    parts = F.array(F.substring(t, 1, window), F.substring(t, middle + 1, F.lit(window)), F.substring(t, n - window + 1, F.lit(window)))
-    values = F.array_distinct(F.flatten(F.transform(parts, lambda s: _all(s, body))))
-    return F.when(n > 3 * window, F.when(gate(name, t), values).otherwise(_none())).otherwise(matches(name, t, custom))
+    long = F.octet_length(t) > 3 * window
+    parts = F.when(long, slices(t, window)).otherwise(F.array(t))
+    values = let(F.flatten(F.transform(parts, lambda s: found_in(name, s, custom))), lambda v: F.when(long, F.array_distinct(v)).otherwise(v))
+    return F.when(gate(name, t), values).otherwise(_none())
 
 
 def selected(include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), custom: dict[str, str] | None = None) -> list[str]:
-    """Types of a scan, the critical first, others by name. Unknown names and invalid patterns are left out."""
+    """Types of a scan, the critical first, others by name. Unknown names and invalid patterns are left out.
+
+    An empty list, or one with `all`, takes every type; otherwise a custom type runs only if it is listed.
+    """
     own = {}
     for k, v in (custom or {}).items():
         try:
@@ -163,9 +180,9 @@ def selected(include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), custo
             own[k] = v
         except (re.error, ValueError):
             continue
-    known = [*CRITICAL, *LONG_TAIL]
+    known = list(dict.fromkeys([*CRITICAL, *LONG_TAIL, *own]))
     wanted = known if not include or "all" in include else [k for k in known if k in include]
-    names = [k for k in dict.fromkeys([*wanted, *own]) if k not in exclude]
+    names = [k for k in wanted if k not in exclude]
     return [k for k in CRITICAL if k in names] + sorted(k for k in names if k not in CRITICAL)
 
 
@@ -174,8 +191,10 @@ def limited(values: Column, per_type: int) -> Column:
 
 
 def mask(value: Column) -> Column:
-    """All but the last four characters starred; four or fewer give ****."""
-    return F.when(F.length(value) <= 4, F.lit("****")).otherwise(F.concat(F.repeat(F.lit("*"), F.length(value) - 4), F.substring(value, -4, 4)))
+    """All but the last four bytes starred; four bytes or fewer give ****. What is left of a character cut at its start is dropped."""
+    n = F.octet_length(value)
+    tail = F.regexp_replace(F.decode(F.substring(F.encode(value, "UTF-8"), -4, 4), "ISO-8859-1"), "^[\\x80-\\xBF]+", "")
+    return F.when(n <= 4, F.lit("****")).otherwise(F.concat(F.repeat(F.lit("*"), n - 4), F.encode(tail, "ISO-8859-1").cast("string")))
 
 
 def redact(values: Column, how: str) -> Column:
@@ -192,20 +211,34 @@ def sensitive(text: Column, names: list[str], per_type: int = 100, total: int =
     given = given or {}
     each = [limited(given[k] if k in given else sampled(k, text, window, custom) if longtail == "sampled" and k not in CRITICAL else matches(k, text, custom), per_type) for k in names]
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in zip(names, each, strict=True)])
+    found = F.filter(pairs, lambda p: F.size(p["v"]) > 0)
+    return let(found, lambda full: _stored(full, per_type, total, how))
+
+
+def _stored(full: Column, per_type: int, total: int, how: str) -> Column:
     if total:  # what is left of the total limit goes down the list
         zero = F.struct(F.lit(total).alias("left"), F.array().cast("array<struct<k:string,v:array<string>>>").alias("out"))
-        pairs = F.aggregate(
-            pairs,
+        full = F.aggregate(
+            full,
             zero,
             lambda a, p: F.struct((a["left"] - F.least(a["left"], F.size(p["v"]))).alias("left"), F.concat(a["out"], F.array(F.struct(p["k"].alias("k"), F.slice(p["v"], F.lit(1), F.least(a["left"], F.size(p["v"]))).alias("v")))).alias("out")),
         )["out"]
-    full = F.filter(pairs, lambda p: F.size(p["v"]) > 0)
-    sizes = F.transform(full, lambda p: F.size(p["v"]))
-    data = F.map_from_entries(F.transform(full, lambda p: F.struct(p["k"], redact(p["v"], how))))
-    counts = F.map_from_entries(F.transform(full, lambda p: F.struct(p["k"], F.size(p["v"]))))
+        full = F.filter(full, lambda p: F.size(p["v"]) > 0)
+    return let(full, lambda kept: _summary(kept, per_type, total, how))
+
+
+def truncated(sizes: Column, per_type: int, total: int) -> Column:
+    """Whether stored counts reach a limit (0: none)."""
     over = F.lit(False)
     if per_type:
         over = over | F.exists(sizes, lambda x: x >= per_type)
     if total:
         over = over | (F.aggregate(sizes, F.lit(0), lambda a, x: a + x) >= total)
+    return over
+
+
+def _summary(full: Column, per_type: int, total: int, how: str) -> Column:
+    data = F.map_from_entries(F.transform(full, lambda p: F.struct(p["k"], redact(p["v"], how))))
+    counts = F.map_from_entries(F.transform(full, lambda p: F.struct(p["k"], F.size(p["v"]))))
+    over = truncated(F.transform(full, lambda p: F.size(p["v"])), per_type, total)
     return F.when(F.size(full) > 0, F.struct(data.alias("data"), counts.alias("counts"), over.alias("truncated")))

@@ -67,12 +67,12 @@ def within(path: Column, roots: tuple[str, ...]) -> Column:
 
 
 def own_artefact(path: Column, output: str = "", last_scan: str = "", cache_dir: str = "") -> Column:
-    """Files that scans write themselves: the output and its rotations, the marker, the cache."""
+    """Files that scans write themselves: the output and its numbered rotations, the marker, the cache. Paths are absolute."""
     out = F.lit(False)
     if output:
         stem, dot, ext = output.rpartition(".")
         stem, ext = (stem, ext) if dot and "/" not in ext else (output, "ndjson")
-        out = out | path.rlike("^" + re.escape(stem) + r"(\.\d+)?\." + re.escape(ext) + r"\z")
+        out = out | path.rlike("^" + re.escape(stem) + r"(\.[0-9]+)?\." + re.escape(ext) + r"\z")
     if last_scan:
         out = out | (path == last_scan)
     return out | within(path, (cache_dir,)) if cache_dir else out

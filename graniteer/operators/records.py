@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import private_file
+
 SCHEMA_VERSION = "2"
 ORDER = ("system_info", "process", "file", "metrics")
 #: Fields that leave a record unless a policy admits them: fixed values.
@@ -89,7 +91,7 @@ def export_ndjson(lines: DataFrame, path: str, most: int = 104_857_600) -> list[
     for r in lines.orderBy("ord").toLocalIterator():
         if out is None:
             done.append(f"{stem}{ext}" if n == 0 else f"{stem}.{n}{ext}")
-            out = os.fdopen(os.open(done[-1], os.O_WRONLY | os.O_CREAT | os.O_TRUNC | getattr(os, "O_NOFOLLOW", 0), 0o600), "wb")
+            out = private_file(done[-1])
             size = 0
         size += out.write(r["json"].encode() + b"\n")
         if size >= most:

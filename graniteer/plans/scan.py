@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
@@ -13,6 +13,9 @@ from ..functions.paths import included
 from ..operators.records import has_signal
 
 
+FIRST_ONLY = "sensitive_match_mode first keeps one match of each type"
+
+
 def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
     """df: (path, name, size, content binary, mtime nullable). Returns one record per row that is emitted."""
     held = df.where(included(F.col("path"), F.col("name"), cfg.include_patterns, cfg.exclude_patterns))
@@ -21,15 +24,24 @@ def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
     small = (F.lit(cfg.max_file_size) <= 0) | (F.col("size") <= cfg.max_file_size)
     most = C.content_limit(cfg.content_scan_max_bytes)
     body = F.col("content") if most is None else F.substring("content", 1, most)
-    kind = C.mime(F.col("content"))
-    wanted = C.eligible(F.col("name"), kind, F.col("content")) & (F.lit(cfg.scan_sensitive) | F.lit(bool(cfg.search_terms)))
     cut = F.lit(False) if most is None else F.col("size") > most
-    text = F.when(wanted, F.decode(body, "UTF-8"))
-    names = detect.selected(cfg.include_sensitive_data_types, cfg.exclude_sensitive_data_types, cfg.custom_patterns)
+    names = detect.selected(cfg.include_sensitive_data_types, cfg.exclude_sensitive_data_types, cfg.custom_patterns) if cfg.scan_sensitive else []
     per_type, total = cfg.per_type_limit, cfg.sensitive_max_total_matches
-    out = held.withColumns({"mime_type": kind, "__text": text})
-    exact = cfg.scan_sensitive and cfg.sensitive_overlap == "exact"
-    given = onepass.critical(F.col("__text"), names, per_type, total) if exact else {}
+    first = cfg.sensitive_match_mode == "first"
+    searched = cfg.scan_sensitive or bool(cfg.search_terms)
+    out = held.withColumn("mime_type", C.mime(F.col("content")))
+    out = out.withColumn("__wanted", C.eligible(F.col("name"), F.col("mime_type"), F.col("content")) if searched else F.lit(False))
+    text = F.when(F.col("__wanted"), F.make_valid_utf8(body.cast("string")))
+
+    def results(t: Column, given: dict[str, Column] | None = None) -> Column:
+        found = detect.sensitive(t, names, per_type, total, cfg.redact_sensitive, cfg.custom_patterns, cfg.longtail, cfg.sensitive_window_bytes, given)
+        return F.struct(C.search_hits(t, cfg.search_terms).alias("hits"), found.alias("s"))
+
+    if cfg.sensitive_overlap == "exact" and names:
+        out = out.withColumn("__text", text)
+        out = out.withColumn("__r", results(F.col("__text"), onepass.critical(F.col("__text"), names, per_type, total))).drop("__text")
+    else:
+        out = out.withColumn("__r", C.let(text, lambda t: results(t)))  # the text is decoded once, whatever looks at it
     if cfg.fuzzy_hash:
         out = out.withColumn("fuzzy_hashes", fuzzy.fuzzy_hashes(F.col("content"), F.col("size"), cfg.fuzzy_min_size, cfg.fuzzy_max_size, cfg.fuzzy_table, cfg.fuzzy_algorithms))
     if cfg.collect_metadata:
@@ -37,17 +49,19 @@ def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
     out = out.withColumns(
         {
             "hashes": F.when(small, C.hashes(F.col("content"), cfg.hash_algorithms)),
-            "search_hits": C.search_hits(F.col("__text"), cfg.search_terms),
-            "__s": detect.sensitive(F.col("__text"), names if cfg.scan_sensitive else [], per_type, total, cfg.redact_sensitive, cfg.custom_patterns, cfg.sensitive_longtail, cfg.sensitive_window_bytes, given),
-            "content_scan_bytes": F.when(wanted, F.octet_length(body).cast("long")),
-            "content_scan_truncated": wanted & cut,
+            "search_hits": F.col("__r.hits"),
+            "content_scan_bytes": F.when(F.col("__wanted"), F.octet_length(body).cast("long")),
+            "content_scan_truncated": F.col("__wanted") & cut,
+            "sensitive_data": F.col("__r.s.data"),
+            "sensitive_data_match_counts": F.col("__r.s.counts"),
+            "sensitive_data_truncated": F.col("__r.s.truncated") | F.lit(True) if first else F.col("__r.s.truncated"),
         }
     )
-    out = out.withColumns({"sensitive_data": F.col("__s.data"), "sensitive_data_match_counts": F.col("__s.counts"), "sensitive_data_truncated": F.col("__s.truncated")})
     warnings = F.array(
+        F.when(F.lit(first) & F.col("sensitive_data").isNotNull(), F.lit(FIRST_ONLY)),
         C.size_warning(F.col("size"), cfg.max_file_size),
         F.when(F.col("content_scan_truncated"), F.lit(f"content scan truncated at {most} bytes")),
         F.when(F.col("sensitive_data_truncated"), F.lit("sensitive data results truncated by configured limits")),
     )
-    out = out.withColumn("collection_warnings", F.array_distinct(F.array_compact(warnings))).drop("__text", "__s", "content")
+    out = out.withColumn("collection_warnings", F.array_distinct(F.array_compact(warnings))).drop("__r", "__wanted", "content")
     return out if cfg.scan_files else out.where(has_signal(out))

@@ -38,6 +38,21 @@ def acl(path: str) -> str | None:
     return done.stdout.decode("utf-8", "replace").strip() or None
 
 
+def private_file(path: str):
+    """A file for the owner alone, opened to be written anew; a link in its place or among its parents, or anything but a file, is refused."""
+    full = os.path.abspath(path)
+    above = os.path.dirname(full)
+    if os.path.realpath(above) != above:
+        raise PermissionError(f"a link leads to {path}")
+    fd = os.open(full, os.O_WRONLY | os.O_CREAT | getattr(os, "O_NOFOLLOW", 0) | getattr(os, "O_NONBLOCK", 0), 0o600)
+    if not stat.S_ISREG(os.fstat(fd).st_mode):
+        os.close(fd)
+        raise PermissionError(f"{path} is not a file")
+    os.ftruncate(fd, 0)
+    os.fchmod(fd, 0o600)
+    return os.fdopen(fd, "wb")
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, roots: list[str], content: bool, most: int, xattr_bytes: int | None = None, with_acl: bool = False) -> None:
         self.roots, self.content, self.most = roots, content, most

@@ -31,10 +31,26 @@ def reusable(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("reuse", F.col("same") & near).drop("__old")
 
 
+#: Ranges of time that entries are dealt to; the times at their edges, where many may meet, are cut by the first byte of the key.
+TIME_RANGES = 200
+
+
 def kept_by_cache(entries: DataFrame, most: int, key: str = "path_key") -> DataFrame:
-    """Newest entries first while their sizes' sum stays within `most`; entries: (key, mtime, size)."""
-    w = Window.orderBy(F.desc("mtime"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("kept", F.sum("size").over(w) <= most)
+    """Newest entries first, by key downwards among equals, while their sizes' sum stays within `most`; entries: (key hex, mtime, size).
+
+    Entries are dealt to cells in that order (a range of time, or an edge and the key's first byte), summed inside their cell, and the
+    cells' offsets come from a table of at most 257 * TIME_RANGES sums or so. Entries without a time are the oldest.
+    """
+    marks = entries.agg(F.percentile_approx("mtime", F.array(*[F.lit(i / TIME_RANGES) for i in range(1, TIME_RANGES)]), F.lit(10_000)).alias("m")).first()["m"]
+    known = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast("array<long>")
+    under, at = F.size(F.filter(known, lambda m: m < F.col("mtime"))), F.array_contains(known, F.col("mtime"))
+    age = F.when(F.col("mtime").isNull(), 2 * TIME_RANGES + 2).otherwise(2 * TIME_RANGES - 2 * under - at.cast("int"))
+    byte = F.when(at | F.col("mtime").isNull(), 255 - F.conv(F.substring(key, 1, 2), 16, 10).cast("int")).otherwise(0)
+    held = entries.withColumn("__cell", age * 256 + byte)
+    sums = held.groupBy("__cell").agg(F.sum("size").alias("__s"))
+    sums = sums.select("__cell", F.coalesce(F.sum("__s").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    w = Window.partitionBy("__cell").orderBy(F.desc("mtime"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    return held.withColumn("__in", F.sum("size").over(w)).join(F.broadcast(sums), "__cell").withColumn("kept", F.col("__in") + F.col("__before") <= most).drop("__cell", "__in", "__before")
 
 
 def path_key(path: Column) -> Column:
