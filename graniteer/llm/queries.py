@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import ann, crf, langid, minhash, mixing, pieces, quality_rules, sharding, sql, suffixes, toxicity
 from .util import crc_of_id
 
@@ -15,7 +16,8 @@ SHARES = {"src0": 4}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    held = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(held, "doc_id") if table == "documents" else held
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
