@@ -80,13 +80,19 @@ def distance(a: str, b: str) -> int:
     return out
 
 
-HASHERS: dict[str, Callable[[bytes, tuple[int, ...]], str | None]] = {"tlsh": tlsh}
+Hasher = Callable[[bytes, tuple[int, ...]], str | None]
+HASHERS: dict[str, Hasher] = {"tlsh": tlsh}
+
+
+def register(name: str, hasher: Hasher) -> None:
+    """Make a digest of one's own known by a lower-case name; plans made afterwards carry the function to the workers."""
+    HASHERS[name.lower()] = hasher
 
 
 def fuzzy_hashes(content: Column, size: Column, least: int = 256, most: int = 20 << 20, table: tuple[int, ...] | None = None, names: tuple[str, ...] = ("tlsh",)) -> Column:
     """map of algorithm to digest for files in the size window (most <= 0: no upper end); null without a digest. Unknown names are left out."""
     table = tuple(table or permutation())
-    known = [n for n in dict.fromkeys(names) if n in HASHERS]
+    known = [n for n in dict.fromkeys(x.lower() for x in names) if n in HASHERS]
     if not known:
         return F.lit(None).cast("map<string,string>")
     if sorted(table) != list(range(256)):
@@ -94,7 +100,8 @@ def fuzzy_hashes(content: Column, size: Column, least: int = 256, most: int = 20
     inside = (size >= least) & ((size <= most) if most > 0 else F.lit(True))
 
     def column(name: str) -> Column:
-        run = F.pandas_udf(lambda values: pd.Series([None if v is None else HASHERS[name](bytes(v), table) for v in values], dtype=object), "string")
+        hasher = HASHERS[name]
+        run = F.pandas_udf(lambda values: pd.Series([None if v is None else hasher(bytes(v), table) for v in values], dtype=object), "string")
         return run(F.when(inside, content))
 
     each = F.array(*[F.struct(F.lit(n).alias("k"), column(n).alias("v")) for n in known])

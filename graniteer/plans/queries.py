@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig, parse_time
 from ..functions import content as C
-from ..functions import detect, fuzzy, onepass
+from ..functions import detect, fuzzy, modules, onepass
 from ..functions.blake3 import blake3
 from ..functions.paths import included
 from ..operators import export, records
@@ -418,6 +418,35 @@ def delta_search_sums(spark, sf_dir):
     return held.select("doc_id").join(sums, "doc_id", "left").select("doc_id", long(F.coalesce("hits", F.lit(0))).alias("hits"))
 
 
+EACH = rf"select doc_id, 'email' as pattern, unnest(m) as value from ({lists('email', ALL_ROWS)}) union all select doc_id, 'aws_access_key', unnest(m) from ({lists('aws_access_key', ALL_ROWS)})"
+
+
+@query(f"select doc_id, pattern, value, count(*)::bigint as n from ({EACH}) group by all")
+def table_function_matches(spark, sf_dir):
+    """Matches as rows of a table function in SQL."""
+    modules.register(spark)
+    with_fixture(spark, sf_dir).createOrReplaceTempView("graniteer_texts")
+    return spark.sql("select doc_id, pattern, value, count(*) as n from graniteer_texts, lateral scan_matches(text, 'email,aws_access_key') group by all")
+
+
+class Lines:
+    """Number of lines, as a column of one's own."""
+
+    name = "lines"
+
+    def enabled(self, cfg: ScanConfig) -> bool:
+        return cfg.scan_files
+
+    def columns(self, df: DataFrame, cfg: ScanConfig) -> dict[str, Column]:
+        return {"n_lines": long(F.size(F.split(F.col("content").cast("string"), "\n")))}
+
+
+@query("select doc_id, len(string_split(text, chr(10)))::bigint as n_lines from documents")
+def own_columns(spark, sf_dir):
+    held = scan(as_files(docs(spark, sf_dir)), ScanConfig(hash_algorithms=(), collect_metadata=False), (Lines(),))
+    return held.select(F.col("path").cast("long").alias("doc_id"), "n_lines")
+
+
 def write_tree(spark: SparkSession, sf_dir: str) -> str:
     """The pages as files under a new folder that all executors share: paths from their urls, times and modes from their ids; links and hidden files among them."""
     root = os.path.join(scratch(spark), f"tree-{uuid.uuid4().hex}")

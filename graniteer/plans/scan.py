@@ -9,6 +9,7 @@ from ..config import ScanConfig
 from ..functions import content as C
 from ..functions import detect, fuzzy, onepass
 from ..functions.metadata import metadata
+from ..functions.modules import FileModule, extended
 from ..functions.paths import included
 from ..operators.records import has_signal
 
@@ -16,8 +17,8 @@ from ..operators.records import has_signal
 FIRST_ONLY = "sensitive_match_mode first keeps one match of each type"
 
 
-def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """df: (path, name, size, content binary, mtime nullable). Returns one record per row that is emitted."""
+def scan(df: DataFrame, cfg: ScanConfig, modules: tuple[FileModule, ...] = ()) -> DataFrame:
+    """df: (path, name, size, content binary, mtime nullable). Returns one record per row that is emitted, with the modules' columns, too."""
     held = df.where(included(F.col("path"), F.col("name"), cfg.include_patterns, cfg.exclude_patterns))
     if cfg.delta_scan and cfg.last_scan_time:
         held = held.where(F.col("mtime").isNull() | (F.col("mtime") >= F.to_timestamp(F.lit(cfg.last_scan_time))))
@@ -29,7 +30,7 @@ def scan(df: DataFrame, cfg: ScanConfig) -> DataFrame:
     per_type, total = cfg.per_type_limit, cfg.sensitive_max_total_matches
     first = cfg.sensitive_match_mode == "first"
     searched = cfg.scan_sensitive or bool(cfg.search_terms)
-    out = held.withColumn("mime_type", C.mime(F.col("content")))
+    out = extended(held.withColumn("mime_type", C.mime(F.col("content"))), cfg, modules)
     out = out.withColumn("__wanted", C.eligible(F.col("name"), F.col("mime_type"), F.col("content")) if searched else F.lit(False))
     text = F.when(F.col("__wanted"), F.make_valid_utf8(body.cast("string")))
 

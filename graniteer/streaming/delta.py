@@ -57,11 +57,6 @@ def path_key(path: Column) -> Column:
     return F.sha2(path, 256)
 
 
-def store(state: DataFrame, fresh: DataFrame, path: str, key: str = "path_key") -> None:
-    """Next snapshot: entries of fresh replace those of state."""
-    state.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True).write.mode("errorifexists").parquet(path)
-
-
 def stream_new_files(spark: SparkSession, folder: str, glob: str, sink, checkpoint: str, per_trigger: int = 1_000):
     """Files not seen yet, once through: sink(batch, number) for each micro-batch."""
     held = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length long, content binary").load(folder)

@@ -8,8 +8,10 @@ same fingerprint of options and read limit.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
@@ -140,3 +142,19 @@ def next_state(state: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
     size = F.octet_length(F.to_json(F.struct("chunk_hash", "hits", "found")))
     files = both.groupBy("path_key").agg(F.max("mtime").alias("mtime"), F.sum(size).alias("size"))
     return both.join(kept_by_cache(files, most).where("kept").select("path_key"), "path_key", "left_semi")
+
+
+def save(state: DataFrame, folder: str) -> str:
+    """Write a snapshot of the state beside the earlier ones; one that is not whole has no _SUCCESS file and is never read."""
+    path = f"{folder.rstrip('/')}/{datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%S%f')}"
+    state.write.parquet(path)
+    return path
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest whole snapshot, or an empty state."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop = fs.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().toString() for s in hadoop.listStatus(fs)) if hadoop.exists(fs) else []
+    whole = [p for p in found if hadoop.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
+    return spark.read.schema(STATE).parquet(whole[-1]) if whole else spark.createDataFrame([], STATE)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graniteer.config import ScanConfig, csv_list, header_map, newer_release, parse_time, pattern_map
+from graniteer.functions import fuzzy
 from graniteer.operators import records, sysinfo
 from graniteer.plans import run
 from graniteer.plans.scan import scan
@@ -132,6 +133,45 @@ def test_rescan_reuses_what_has_not_changed(spark):
     assert state.count() == again.count() and rescan.next_state(first.drop("reused"), again, 0).count() == 0
 
 
+def test_snapshots_of_the_state(spark, tmp_path):
+    cfg = ScanConfig(search_terms=("tin",), delta_chunk_bytes=8)
+    files = spark.createDataFrame([("a", bytearray(b"tin " * 9), None)], "path string, content binary, mtime timestamp")
+    assert rescan.load(spark, str(tmp_path / "none")).count() == 0
+    first = rescan.rescan(files, rescan.load(spark, str(tmp_path)), cfg).drop("reused")
+    rescan.save(first, str(tmp_path))
+    os.makedirs(tmp_path / "99991231T000000000000")  # not whole
+    assert rescan.rescan(files, rescan.load(spark, str(tmp_path)), cfg).where("not reused").count() == 0
+
+
+def test_stream_takes_each_file_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    seen = []
+    for k in range(2):
+        (tmp_path / f"in/{k}.txt").write_text("x" * (k + 1))
+        (tmp_path / f"in/{k}.bin").write_text("x")
+        delta.stream_new_files(spark, str(tmp_path / "in"), "*.txt", lambda b, n: seen.extend(r["length"] for r in b.collect()), str(tmp_path / "at"), 1).awaitTermination()
+    assert sorted(seen) == [1, 2]
+
+
+def test_own_columns_must_be_new(spark):
+    class Size:
+        name = "size"
+        enabled = staticmethod(lambda cfg: True)
+        columns = staticmethod(lambda df, cfg: {"size": F.lit(1)})
+
+    with pytest.raises(ValueError):
+        scan(rows(spark, ("a.txt", b"x")), ScanConfig(), (Size(),))
+
+
+def test_own_digest(spark):
+    fuzzy.register("Length", lambda value, table: str(len(value)))
+    try:
+        df = spark.createDataFrame([(bytearray(b"x" * 300),)], "c binary")
+        assert df.select(fuzzy.fuzzy_hashes(F.col("c"), F.octet_length("c"), names=("LENGTH", "none"))).first()[0] == {"length": "300"}
+    finally:
+        del fuzzy.HASHERS["length"]
+
+
 def test_when_a_rescan_goes_by_chunks(spark):
     applies = lambda cfg, n, whole: spark.range(1).select(rescan.applies(cfg, F.lit(n), whole)).first()[0]
     search = ScanConfig(search_terms=("x",), delta_chunk_bytes=100)
