@@ -42,7 +42,7 @@ def kept_by_cache(entries: DataFrame, most: int, key: str = "path_key") -> DataF
     cells' offsets come from a table of at most 257 * TIME_RANGES sums or so. Entries without a time are the oldest.
     """
     marks = entries.agg(F.percentile_approx("mtime", F.array(*[F.lit(i / TIME_RANGES) for i in range(1, TIME_RANGES)]), F.lit(10_000)).alias("m")).first()["m"]
-    known = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast("array<long>")
+    known = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast(f"array<{dict(entries.dtypes)['mtime']}>")
     under, at = F.size(F.filter(known, lambda m: m < F.col("mtime"))), F.array_contains(known, F.col("mtime"))
     age = F.when(F.col("mtime").isNull(), 2 * TIME_RANGES + 2).otherwise(2 * TIME_RANGES - 2 * under - at.cast("int"))
     byte = F.when(at | F.col("mtime").isNull(), 255 - F.conv(F.substring(key, 1, 2), 16, 10).cast("int")).otherwise(0)
