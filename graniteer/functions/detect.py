@@ -23,6 +23,8 @@ LONG_TAIL = {
     "india_aadhaar": r"\b\d{4}\s?\d{4}\s?\d{4}\b",
     "china_id": r"\b\d{17}[0-9Xx]\b",
 }
+#: What a match can begin with; looked at before the dearer word edge.
+FIRST = {"ip_address": r"(?=\d)", "phone_number": r"(?=[(\d])", "iban": "(?=[A-Z])", "uk_nin": "(?=[A-Z])", "eu_vat": "(?=[A-Z])", "india_aadhaar": r"(?=\d)", "china_id": r"(?=\d)"}
 STREET_WORDS = ("street", "avenue", "road", "lane", "drive")
 STREET_ENDS = re.search(r"\(\?:(Street[^)]*)\)", LONG_TAIL["street_address"])[1]
 
@@ -119,7 +121,7 @@ def credit_card(text: Column) -> Column:
 
 def street(text: Column) -> Column:
     """In two steps, so that no long run of words is matched by recursion."""
-    run = rf"{EDGE}\d{{1,5}}{SPACE}++[A-Za-z0-9]++(?:{SPACE}++[A-Za-z0-9]++)*+_?"
+    run = rf"(?=\d){EDGE}\d{{1,5}}{SPACE}++[A-Za-z0-9]++(?:{SPACE}++[A-Za-z0-9]++)*+_?"
     inner = rf"^\d{{1,5}}{SPACE}+[A-Za-z0-9][\s\S]*{SPACE}(?:{STREET_ENDS}){EDGE}"
     return F.filter(F.transform(_all(text, run), lambda r: F.regexp_extract(r, inner, 0)), lambda x: x != "")
 
@@ -155,7 +157,9 @@ def slices(text: Column, window: int) -> Column:
 def found_in(name: str, text: Column, custom: dict[str, str] | None = None) -> Column:
     """All matches of a long-tail or custom type, whatever the gate says."""
     body = (custom or {}).get(name)
-    return street(text) if name == "street_address" and not body else _all(text, to_java(body or LONG_TAIL[name]))
+    if body:
+        return _all(text, to_java(body))
+    return street(text) if name == "street_address" else _all(text, FIRST[name] + to_java(LONG_TAIL[name]))
 
 
 def sampled(name: str, text: Column, window: int, custom: dict[str, str] | None = None) -> Column:
