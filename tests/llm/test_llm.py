@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -364,6 +365,49 @@ def test_queries_and_candidates_are_dealt_in_blocks(spark, monkeypatch):
         assert [got[q, k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
 
 
+
+def test_fitting_takes_memory_of_the_sample(monkeypatch):
+    """Not of the sample's square, nor of the sample by the partitions."""
+    monkeypatch.setattr(ann, "CELLS", 1 << 18, raising=False)
+    x = np.random.default_rng(8).standard_normal((4_000, 8))
+    tracemalloc.start()
+    try:
+        near = ann.neighbours(x, 10)
+        assert tracemalloc.get_traced_memory()[1] < 20e6 < len(x) ** 2 * 8
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        assert (np.sort(near[:50]) == np.sort(np.argsort(-s[:50])[:, :10])).mean() > 0.99
+        del s
+        tracemalloc.reset_peak()
+        tracemalloc.clear_traces()
+        net = ann.router(ann.scaled(x), 150_000)
+        assert net.parts == 64 and 0 < net.probes <= 64 and tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_query_goes_to_a_bin_once_and_meets_what_it_probes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    names = []
+    monkeypatch.setattr(ann, "staged", lambda df, name: names.append((name, util.staged(df, name))) or names[-1][1])
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 6)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    vectors = ann.valid(df.withColumnRenamed("vec_id", "id"), "embedding").select("id", "v")
+    net = ann.Router(rng.standard_normal((6, 32)), np.zeros(32), 20)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(vectors, vectors.where("id % 20 = 0"), net).collect()}
+    unit, z = x / np.linalg.norm(x, axis=1, keepdims=True), net.logits(ann.scaled(x))
+    part = z.argmax(1)
+    for q in range(0, 700, 20):
+        s = np.where(np.isin(part, np.argsort(-z[q])[:20]), unit @ unit[q], -9)
+        s[q] = -9
+        want = np.argsort(-s)[:5]
+        assert [got[q, k + 1][0] for k in range(5)] == want.tolist() and all(abs(got[q, k + 1][1] - s[v]) < 1e-12 for k, v in enumerate(want))
+    routed = dict(names)["routed"]
+    assert routed.groupBy("id", "bin").count().where("count > 1").count() == 0 and routed.count() < 35 * 20 / 1.3 and dict(routed.dtypes)["v"] == "array<float>"
+
+
 # 6
 @have_pieces
 def test_pieces_round_trip_and_best_score(spark):
