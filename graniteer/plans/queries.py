@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ScanConfig, parse_time
+from ..config import MOST_SCANNED, ScanConfig, parse_time
 from ..functions import content as C
 from ..functions import detect, fuzzy, modules, onepass
 from ..functions.blake3 import blake3
@@ -528,17 +528,27 @@ RESCANNED = "(select doc_id, case when doc_id % 7 = 0 then text || ' the tail' w
 union all select doc_id, 'found', 'email', len(m)::bigint from ({lists('email', RESCANNED)}) where len(m) > 0
 union all select doc_id, 'found', 'credit_card', n from ({CARD_SQL.replace(ALL_ROWS, RESCANNED)})""")
 def delta_rescan(spark, sf_dir):
-    """Results put together from the last scan's chunks and the changed ones equal those of a fresh scan."""
-    cfg = ScanConfig(scan_sensitive=True, search_terms=("the",), include_sensitive_data_types=("email", "credit_card"), redact_sensitive="", sensitive_max_matches_per_type=0, sensitive_max_total_matches=0, delta_chunk_bytes=512)
-    old = docs(spark, sf_dir)
+    """Results put together from the last scan's chunks and the changed ones equal those of a fresh scan.
+
+    Texts are read to the most that the options allow (256 MiB). A file is an id with its first text: rows that repeat an id are files of their own, and equal rows one file of so many copies.
+    """
+    cfg = ScanConfig(scan_sensitive=True, search_terms=("the",), include_sensitive_data_types=("email", "credit_card"), redact_sensitive="", sensitive_max_matches_per_type=0, sensitive_max_total_matches=0, delta_chunk_bytes=512, content_scan_max_bytes=MOST_SCANNED)
+    path = F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    rows = docs(spark, sf_dir).withColumn("path", path)
+    old = rows.dropDuplicates(["path"])
+    files = lambda df: df.select("path", F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" the tail"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("head the "), "text"))
     text = text.when(F.col("doc_id") % 7 == 2, F.concat(F.substring("text", 1, 700), F.lit(" mail q.w@example.org 4111-1111-1111-1111 "), F.expr("substring(text, 701)"))).otherwise(F.col("text"))
-    first = rescan.rescan(as_files(old), spark.createDataFrame([], rescan.STATE), cfg).drop("reused")
-    again = rescan.rescan(as_files(old.withColumn("text", text)), first, cfg)
-    ids = old.select("doc_id", delta.path_key(F.col("doc_id").cast("string")).alias("path_key"))
+    first = rescan.rescan(files(old), spark.createDataFrame([], rescan.STATE), cfg).drop("reused")
+    again = rescan.rescan(files(old.withColumn("text", text)), first, cfg)
+    ids = rows.groupBy("doc_id", delta.path_key(F.col("path")).alias("path_key")).agg(F.count(F.lit(1)).alias("copies"))
     hits = rescan.file_hits(again).select("path_key", F.lit("hits").alias("kind"), F.col("term").alias("key"), long(F.col("hits")).alias("n"))
     held = rescan.file_sensitive(again, cfg).select("path_key", F.lit("found").alias("kind"), F.explode("sensitive.counts").alias("key", "n"))
-    return hits.unionByName(held.withColumn("n", long(F.col("n")))).join(ids, "path_key").select("doc_id", "kind", "key", "n")
+    both = hits.unionByName(held.withColumn("n", long(F.col("n")))).join(ids, "path_key")
+    # As in the SQL, cards are summed up by id; other counts are a row for each row.
+    cards = both.where("key = 'credit_card'").groupBy("doc_id", "kind", "key").agg(F.sum(F.expr("n * copies")).alias("n"))
+    others = both.where("key <> 'credit_card'").withColumn("n", F.explode(F.expr("array_repeat(n, int(copies))")))
+    return others.select("doc_id", "kind", "key", "n").unionByName(cards)
 
 
 def blake3_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

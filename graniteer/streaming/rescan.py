@@ -3,7 +3,8 @@
 State is a table with a row for each chunk: (path_key, fingerprint, read_limit, idx, n_chunks, mtime, chunk_hash, hits, found). A chunk's
 results are those of matches that start in it: counts of search terms, and runs of equal values of each critical
 type. A file's results are its chunks', summed and strung together in order, under the limits. Results are reused only under the
-same fingerprint of options and read limit.
+same fingerprint of options and read limit. A file in which what may be one match is longer than a chunk, or terms overlap themselves,
+is one chunk as a whole, since neighbours do not show where a match starts there. A path is one file: rows must not repeat it.
 """
 
 from __future__ import annotations
@@ -55,14 +56,38 @@ def spelled_out(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["value"], r["n"])))
 
 
+#: Bytes that matches without blanks are made of, and what each of them holds.
+WORD = r"A-Za-z0-9._%+@\-"
+MARKS = {"email": "@", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "aws_access_key": "AKIA", "jwt_token": "eyJ"}
+
+
+def undivided(text: Column, cfg: ScanConfig) -> Column:
+    """Whether a file (its bytes as ISO-8859-1) may hold a match over more than a chunk and its neighbour, so that it is searched as a whole."""
+    size, names = cfg.delta_chunk_bytes, patterns(cfg) if sensitive_by_chunk(cfg) else []
+    runs = [rf"[0-9][0-9 \-]{{{size},}}"] if "credit_card" in names else []
+    marks = "|".join(m for n, m in MARKS.items() if n in names)
+    runs += [rf"(?<![{WORD}])(?=[{WORD}]{{{size + 1}}})[{WORD}]*?(?:{marks})"] if marks else []
+    runs += [rf'(?i:api_key|api-secret|access-token)[ \t:="A-Za-z0-9_\-]{{{max(size - 8, 1)},}}'] if "api_key" in names else []
+    out = F.lit(any(len(t.encode()) - 1 > size for t in cfg.search_terms))
+    for run in runs:
+        out = out | text.rlike(run)
+    for t in cfg.search_terms:  # "aa" in "aaa": what is counted hangs on where counting starts
+        b = t.encode()
+        for k in range(1, len(b)):
+            if b.endswith(b[:k]):
+                out = out | text.contains((b + b[k:]).decode("latin-1"))
+    return out
+
+
 def chunk_table(now: DataFrame, cfg: ScanConfig) -> DataFrame:
     """now: (path, content, mtime). A row for each chunk, with the chunks before and after it."""
     limit = C.content_limit(cfg.content_scan_max_bytes)
     body = F.col("content") if limit is None else F.substring("content", 1, limit)
-    size = cfg.delta_chunk_bytes
-    held = now.select(path_key(F.col("path")).alias("path_key"), "mtime", body.alias("__c")).withColumn("n_chunks", F.ceil(F.octet_length("__c") / size).cast("int"))
-    each = held.where("n_chunks > 0").select("path_key", "mtime", "n_chunks", "__c", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("idx"))
-    piece = lambda i: F.when(i >= 0, F.substring("__c", i * size + 1, F.lit(size))).otherwise(F.lit(b""))
+    held = now.select(path_key(F.col("path")).alias("path_key"), "mtime", body.alias("__c")).where(F.octet_length("__c") > 0)
+    held = held.withColumn("__size", F.when(undivided(F.decode("__c", "ISO-8859-1"), cfg), F.octet_length("__c")).otherwise(cfg.delta_chunk_bytes))
+    held = held.withColumn("n_chunks", F.ceil(F.octet_length("__c") / F.col("__size")).cast("int"))
+    each = held.select("path_key", "mtime", "n_chunks", "__c", "__size", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("idx"))
+    piece = lambda i: F.when(i >= 0, F.substring("__c", i * F.col("__size") + 1, F.col("__size"))).otherwise(F.lit(b""))
     return each.select("path_key", "mtime", "n_chunks", "idx", piece(F.col("idx") - 1).alias("before"), piece(F.col("idx")).alias("chunk"), piece(F.col("idx") + 1).alias("after")).withColumn("chunk_hash", F.sha2("chunk", 256))
 
 
@@ -75,10 +100,11 @@ def chunk_hits(terms: tuple[str, ...]) -> Column:
     return F.map_from_entries(F.filter(each, lambda x: x["v"] > 0))
 
 
-def chunk_found(names: list[str]) -> Column:
-    """Critical values that start in the chunk, looked for in it and its neighbours, as runs."""
+def chunk_found(names: list[str], overlap: str = "independent") -> Column:
+    """Critical values that start in the chunk, looked for in it and its neighbours, as runs; each type by itself, unless overlap is `exact`."""
     wanted = tuple(n for n in detect.CRITICAL if n in names)
     kind = "array<struct<k:string,v:array<struct<value:string,n:int>>>>"
+    passes = [wanted] if overlap == "exact" else [(n,) for n in wanted]
     if not wanted:
         return F.lit(None).cast(kind)
 
@@ -91,9 +117,11 @@ def chunk_found(names: list[str]) -> Column:
                 continue
             low, high = len(a), len(a) + len(b)
             held: dict[str, list[str]] = {}
-            for name, value, start, _ in onepass.scan_bytes(bytes(a) + bytes(b) + bytes(c), wanted):
-                if low <= start < high:
-                    held.setdefault(name, []).append(value)
+            text = bytes(a) + bytes(b) + bytes(c)
+            for some in passes:
+                for name, value, start, _ in onepass.scan_bytes(text, some):
+                    if low <= start < high:
+                        held.setdefault(name, []).append(value)
             out.append([{"k": n, "v": held[n]} for n in wanted if n in held])
         return pd.Series(out, dtype=object)
 
@@ -109,9 +137,11 @@ def rescan(now: DataFrame, state: DataFrame, cfg: ScanConfig) -> DataFrame:
     names = patterns(cfg) if sensitive_by_chunk(cfg) else []
     old = state.where((F.col("fingerprint") == mark) & (F.col("read_limit") == limit))
     marked = reusable(chunk_table(now, cfg), old.select("path_key", "idx", "chunk_hash"), "path_key")
-    known = old.select("path_key", "idx", F.col("hits").alias("__hits"), F.col("found").alias("__found"))
-    joined = marked.join(known, ["path_key", "idx"], "left")
-    fresh = joined.where("not reuse").withColumns({"hits": chunk_hits(cfg.search_terms), "found": chunk_found(names)})
+    known = old.select("path_key", "idx", F.col("n_chunks").alias("__n"), F.col("hits").alias("__hits"), F.col("found").alias("__found"))
+    # A last chunk's results hold only if it was the last before: a match may have gone on.
+    whole = (F.col("idx") + 1 < F.col("n_chunks")) | (F.col("__n") == F.col("n_chunks"))
+    joined = marked.join(known, ["path_key", "idx"], "left").withColumn("reuse", F.coalesce(F.col("reuse") & whole, F.lit(False)))
+    fresh = joined.where("not reuse").withColumns({"hits": chunk_hits(cfg.search_terms), "found": chunk_found(names, cfg.sensitive_overlap)})
     kept = joined.where("reuse").withColumns({"hits": F.col("__hits"), "found": F.col("__found")})
     both = fresh.unionByName(kept)
     return both.select("path_key", F.lit(mark).alias("fingerprint"), F.lit(limit).cast("long").alias("read_limit"), "idx", "n_chunks", "mtime", "chunk_hash", "hits", "found", F.col("reuse").alias("reused"))

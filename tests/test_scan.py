@@ -133,6 +133,19 @@ def test_rescan_reuses_what_has_not_changed(spark):
     assert state.count() == again.count() and rescan.next_state(first.drop("reused"), again, 0).count() == 0
 
 
+
+def test_rescan_of_a_file_cut_at_a_chunk_and_of_terms_that_overlap(spark):
+    cfg = ScanConfig(scan_sensitive=True, search_terms=("aba", "tin"), include_sensitive_data_types=("credit_card",), redact_sensitive="", delta_chunk_bytes=64)
+    frame = lambda x: spark.createDataFrame([("a", bytearray(x), None), ("b", bytearray(b"ab" * 200 + b"a"), None)], "path string, content binary, mtime timestamp")
+    old = b"." * 120 + b"4111111111111111 tin"
+    first = rescan.rescan(frame(old), spark.createDataFrame([], rescan.STATE), cfg).drop("reused")
+    again = rescan.rescan(frame(old[:128]), first, cfg).cache()
+    key = hashlib.sha256(b"a").hexdigest()
+    assert {(r["path_key"] == key, r["term"]): r["hits"] for r in rescan.file_hits(again).collect()} == {(False, "aba"): 100}
+    assert all(r["sensitive"] is None for r in rescan.file_sensitive(again, cfg).collect())
+    assert {r["path_key"] == key: r["sensitive"] for r in rescan.file_sensitive(first, cfg).collect()}[True]["counts"] == {"credit_card": 1}
+
+
 def test_snapshots_of_the_state(spark, tmp_path):
     cfg = ScanConfig(search_terms=("tin",), delta_chunk_bytes=8)
     files = spark.createDataFrame([("a", bytearray(b"tin " * 9), None)], "path string, content binary, mtime timestamp")
