@@ -69,8 +69,8 @@ def undivided(text: Column, cfg: ScanConfig) -> Column:
     runs += [rf"(?<![{WORD}])(?=[{WORD}]{{{size + 1}}})[{WORD}]*?(?:{marks})"] if marks else []
     runs += [rf'(?i:api_key|api-secret|access-token)[ \t:="A-Za-z0-9_\-]{{{max(size - 8, 1)},}}'] if "api_key" in names else []
     out = F.lit(any(len(t.encode()) - 1 > size for t in cfg.search_terms))
-    for run in runs:
-        out = out | text.rlike(run)
+    if runs:
+        out = out | text.rlike("|".join(runs))
     for t in cfg.search_terms:  # "aa" in "aaa": what is counted hangs on where counting starts
         b = t.encode()
         for k in range(1, len(b)):
