@@ -22,6 +22,9 @@ with the same LEAD leading bytes, and nothing is lost.
 5. Windows whose forward part (from the anchor on) is a prefix of one of the bucket's own splitters may have equals in
    other buckets. Of each such run the smallest id's windows are compared across the boundaries: one more exchange, by the
    window, in which a bucket has one document for each run.
+
+What steps 2 and 4 return is written, and the shuffles that made it are deleted then: the texts' and suffixes' (step 3) are the most
+that lies on disk at once, before the texts are shuffled again to meet their ranges.
 """
 
 from __future__ import annotations
@@ -417,11 +420,11 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     keyed = texts.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("key")).where(f"n >= {WIDTH}")
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "first")
     # Written first, so that both sides of the join are plain shuffles, whose skewed parts are split.
-    copies = staged(keyed.join(staged(first, "first-copies"), "key").where("id > first").select("id", "n"), "copies")
+    copies = staged(keyed.join(staged(first, "first-copies", True), "key").where("id > first").select("id", "n"), "copies", True)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets, parts = max(8, total // BUCKET_BYTES), max(12, total // SUFFIX_BYTES)
     ranges = min(parts, MOST_RANGES)
-    hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors")
+    hits = staged(_repeated_anchors(texts.select("id", "text"), buckets), "anchors", True)
     both = hits.withColumn("copy", F.lit(0)).union(copies.select("id", F.lit(None).cast("long"), F.lit(1)))
     keys = both.groupBy("id").agg(F.collect_list("key").alias("keys"), F.max("copy").alias("copy")).where("copy = 0").drop("copy")
     cuts, hot = _splitters(texts, total, ranges)
@@ -449,7 +452,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
                     col.append(v)
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    settled = staged(map_groups(suffixes, ["bucket", "sub"], settle, "id long, x long, y long, win binary, gaps binary"), "settled")
+    settled = staged(map_groups(suffixes, ["bucket", "sub"], settle, "id long, x long, y long, win binary, gaps binary"), "settled", True)
     # Across boundaries: a bucket has one document for each window here.
     open_ = settled.where("win is not null").withColumn("first", F.min("id").over(Window.partitionBy("win"))).where("id > first")
 

@@ -58,11 +58,27 @@ def map_groups(df: DataFrame, by: list[str], fn, schema) -> DataFrame:
     return df.groupBy(*by).applyInArrow(fn, schema)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    release: the files of the shuffles that made it go once it is written, and not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release and before is None:
+            spark.conf.unset(RELEASE)
+        elif release:
+            spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

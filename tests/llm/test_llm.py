@@ -3,8 +3,10 @@
 import hashlib
 import os
 import random
+import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -295,6 +297,27 @@ def test_suffix_dedup_of_very_long_texts(spark):
     assert got == {0: (306, 0, 0), 1: (20_000_000, 300, 1), 2: (20_400_000, 0, 0), 3: (397, 395, 1), 4: (0, 0, 0)}
 
 
+def test_suffix_dedup_deletes_the_shuffles_of_its_steps(spark):
+    """Else hashes, texts and suffixes stay on disk beside the last shuffle, until the driver happens to collect garbage."""
+    rng = random.Random(21)
+    passage = words(rng, 60)
+    texts = [f"{words(rng, 200)} {passage} {words(rng, 200)}" for _ in range(200)]
+    df = docs(spark, texts).select(F.col("doc_id").alias("id"), "text").repartition(3).cache()
+    df.count()
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {p: p.stat().st_size for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    before, key = held(), spark.conf.get(util.RELEASE, None)
+    spans = suffixes.repeated_ranges(df)
+    for _ in range(100):  # files are deleted in the background
+        left = sum(n for p, n in held().items() if p not in before)
+        if left < 0.05 * sum(map(len, texts)):
+            break
+        time.sleep(0.2)
+    df.unpersist()
+    assert left < 0.05 * sum(map(len, texts)) and spark.conf.get(util.RELEASE, None) == key
+    assert spans.count() == 199
+
+
 def test_multikey_order_is_a_sort():
     rng = np.random.default_rng(5)
     for n, top in ((0, 3), (1, 3), (500, 3), (3000, 40), (3000, 2)):
